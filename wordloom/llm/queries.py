@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import exact_dedup, sharding, url_filter
+from wordloom.llm import bpe, exact_dedup, fingerprint, language_id, packing, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.fingerprints(_documents(spark, sf_dir))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    return bpe.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimax contiguous sharding of all documents into 40 shards."""
     return sharding.shard(_documents(spark, sf_dir), shards=40)
@@ -32,7 +54,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name -> callable(spark, sf_dir)."""
-    found = (op6_sharding, op8_url_filter, op9_exact_dedup)
+    found = (op1_fingerprint, op2_packing, op4_bpe, op5_language_id, op6_sharding, op8_url_filter, op9_exact_dedup)
     return {f.__name__: f for f in found}
 
 
