@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import bpe, exact_dedup, fingerprint, language_id, packing, sharding, url_filter
+from wordloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, language_id, packing, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,9 +52,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by shingle overlap."""
+    return jaccard_join.jaccard_groups(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     """Name -> callable(spark, sf_dir)."""
-    found = (op1_fingerprint, op2_packing, op4_bpe, op5_language_id, op6_sharding, op8_url_filter, op9_exact_dedup)
+    found = (op1_fingerprint, op2_packing, op4_bpe, op5_language_id, op6_sharding, op8_url_filter, op9_exact_dedup, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 
