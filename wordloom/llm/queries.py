@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, language_id, packing, sharding, url_filter
+from wordloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, language_id, packing, sharding, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 200-byte strings removed from all documents."""
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded."""
     return bpe.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -59,7 +64,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name -> callable(spark, sf_dir)."""
-    found = (op1_fingerprint, op2_packing, op4_bpe, op5_language_id, op6_sharding, op8_url_filter, op9_exact_dedup, op10_jaccard_join)
+    found = (op1_fingerprint, op2_packing, op3_suffix_dedup, op4_bpe, op5_language_id, op6_sharding, op8_url_filter, op9_exact_dedup, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 
