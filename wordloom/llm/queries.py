@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, language_id, packing, sharding, suffix_dedup, url_filter
+from wordloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, language_id, packing, pitman_yor, sharding, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=40)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of four fifths of them."""
+    return pitman_yor.score_documents(_documents(spark, sf_dir))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.fit(spark))
@@ -64,7 +69,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name -> callable(spark, sf_dir)."""
-    found = (op1_fingerprint, op2_packing, op3_suffix_dedup, op4_bpe, op5_language_id, op6_sharding, op8_url_filter, op9_exact_dedup, op10_jaccard_join)
+    found = (op1_fingerprint, op2_packing, op3_suffix_dedup, op4_bpe, op5_language_id, op6_sharding, op7_lm_scoring, op8_url_filter, op9_exact_dedup, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 
