@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wordloom.llm.bpe import printable_bytes
 from wordloom.llm.common import documents, materialise
 
 SIZE, GRID, END = 4096, 8, 2
@@ -34,19 +36,33 @@ _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
+#: Words of plain Latin letters with punctuation behind them, which need no normalising but lower case and split in two.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?%$&*#()+=@/|-]*)").fullmatch
+
+
 class WordIds:
     """Ids of white-space separated words as little-endian bytes.
 
     The vocabulary drops white space and merges never cross it, so a text's
-    ids are those of its words.  The table of words is bounded.
+    ids are those of its words.  The table of words is bounded.  New words of
+    the plain kind are merged by tiktoken under the same ranks, the end of a
+    word spelled as the byte 255, which UTF-8 never holds; all others go to
+    the tokenizer itself.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spelled, ranks = printable_bytes(), {}
+        for token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            core = token.removesuffix("</w>")
+            if all(c in spelled for c in core):
+                ranks[bytes(spelled[c] for c in core) + b"\xff" * (core != token)] = rank
+        self.merge = tiktoken.Encoding("word-ends", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.limit, self.table = limit, {}
 
     @staticmethod
@@ -61,8 +77,19 @@ class WordIds:
         if len(self.table) + len(missing) > self.limit:
             self.table.clear()
             missing = list(set().union(*split))
-        for k in range(0, len(missing), 2000):
-            words = missing[k : k + 2000]
+        rest = []
+        for word in missing:
+            plain = _PLAIN(word)
+            if plain is None:
+                rest.append(word)
+                continue
+            ids = array("I")
+            for part in plain.groups():
+                if part:
+                    ids.extend(self.merge(part.lower().encode() + b"\xff"))
+            self.table[word] = ids.tobytes()
+        for k in range(0, len(rest), 2000):
+            words = rest[k : k + 2000]
             got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
             ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
             ends = np.searchsorted(owner, np.arange(len(words) + 1)) * 4
