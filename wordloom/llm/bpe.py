@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,6 +33,9 @@ from wordloom.llm.common import documents
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+
+
 def printable_bytes() -> dict[str, int]:
     """The format's spelling of bytes: printable ones stand for themselves, the rest for code points from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -42,7 +46,7 @@ def printable_bytes() -> dict[str, int]:
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizers JSON file."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         spelled, vocab = printable_bytes(), spec["model"]["vocab"]
         as_bytes = {t: bytes(spelled[c] for c in t) for t in vocab if all(c in spelled for c in t)}
@@ -60,9 +64,9 @@ class Bpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.limit = limit
         self.whole: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, tuple[str, int, bytes]] = {}
+        self.pieces: dict[str, tuple[str, bytes]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging by rank; used on the joined bytes of two tokens only."""
@@ -77,37 +81,37 @@ class Bpe:
 
     def reachable(self, token: int) -> bool:
         """Whether merging the token's bytes gives the token."""
-        known = self.whole.get(token)
-        if known is None:
-            known = self.whole[token] = self.merged(self.token[token]) == [token]
+        known = self.whole[token] = self.merged(self.token[token]) == [token]
         return known
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens may stand side by side."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= self.limit:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(self.token[left] + self.token[right]) == [left, right]
+        if len(self.pairs) >= self.limit:
+            self.pairs.clear()
+        known = self.pairs[left << 20 | right] = self.merged(self.token[left] + self.token[right]) == [left, right]
         return known
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of one pre-token."""
-        data = word.encode()
-        size = len(data)
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, match in self.automaton.iter(data.decode("latin-1")):
-            ending[end].append(match)  # longest first
-        last, back = [0] * (size + 1), [0] * (size + 1)
-        for end in range(1, size + 1):
-            for length, token in ending[end - 1]:
-                start = end - length
-                if self.compatible(last[start], token) if start else self.reachable(token):
-                    last[end], back[end] = token, start
-                    break
+        data = word.encode().decode("latin-1")
+        last, back = [-1] * (len(data) + 1), [0] * (len(data) + 1)
+        pairs, whole = self.pairs.get, self.whole.get
+        for at, (length, token) in self.automaton.iter(data):  # by end, the longest match first
+            end = at + 1
+            if last[end] >= 0:
+                continue
+            start = end - length
+            if start:
+                fits = pairs(last[start] << 20 | token)
+                if fits is None:
+                    fits = self.compatible(last[start], token)
             else:
-                raise ValueError(f"no token ends at byte {end} of {word!r}")
-        ids, end = [], size
+                fits = whole(token)
+                if fits is None:
+                    fits = self.reachable(token)
+            if fits:
+                last[end], back[end] = token, start
+        ids, end = [], len(data)
         while end:
             ids.append(last[end])
             end = back[end]
@@ -121,9 +125,22 @@ class Bpe:
             ids = self.words[word] = self.encode_word(word)
         return ids
 
-    def _piece(self, piece: str) -> tuple[str, int, bytes]:
+    def _piece(self, piece: str) -> tuple[str, bytes]:
         ids = [i for word in self.pretokens(piece) for i in self._word(word)]
-        return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
+        return ",".join(map(str, ids)), self.decode_bytes(ids)
+
+    def _pieces(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        """(ids joined by commas, decoded bytes) of pieces that follow a space."""
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            if len(self.pieces) >= self.limit:
+                self.pieces.clear()
+            for k, got in enumerate(found):
+                if got is None:
+                    found[k] = got = self.pieces.get(pieces[k]) or self._piece(" " + pieces[k])
+                    if len(pieces[k]) <= 64:
+                        self.pieces[pieces[k]] = got
+        return found
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for."""
@@ -139,28 +156,16 @@ class Bpe:
         if any(s in text for s in self.special):
             ids = self.encode(text)
             return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode_bytes(ids).decode("utf-8", "replace").encode()).hexdigest()
-        split = text.split(" ")
-        keys = [split[0]]
-        for piece in split[1:]:
-            # A piece that begins with white space, or follows one that ends with it, can share a run of white space.
-            if piece[:1].isspace() or not piece or keys[-1][-1:].isspace() or not keys[-1]:
-                keys[-1] += " " + piece
-            else:
-                keys.append(" " + piece)
-        table = self.pieces
-        found = []
-        for key in keys:
-            got = table.get(key)
-            if got is None:
-                got = self._piece(key)
-                if len(key) <= 64:
-                    if len(table) >= self.limit:
-                        table.clear()
-                    table[key] = got
-            found.append(got)
-        ids = ",".join([f[0] for f in found if f[1]])
-        decoded = b"".join([f[2] for f in found])
-        return sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest()
+        pieces = text.split(" ")
+        if "" in pieces or " \n" in text or "\n " in text or _OTHER_SPACE(text):
+            # White space next to a space: pre-tokens may reach over a cut.
+            found = [self._piece(text)]
+        else:
+            found = [self._piece(pieces[0]), *self._pieces(pieces[1:])]
+        ids = ",".join([f[0] for f in found])
+        decoded = b"".join([f[1] for f in found])
+        count = ids.count(",") + 1 if ids else 0
+        return count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest()
 
 
 _LOADED: dict[str, Bpe] = {}
