@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import documents, materialise
+from wordloom.llm.common import materialise
 from wordloom.llm.kernels import U64, mix, slices, utf8, windows64
 from wordloom.llm.suffix_sort import deep_shallow, lcp
 
@@ -205,8 +205,8 @@ def union_of(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return lows[at], highs[np.append(at[1:], len(lows)) - 1]
 
 
-def _cut(keep_text: bool):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+def _cut(keep_text: bool, carry: tuple[str, ...]):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text + list(carry)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,26 +220,28 @@ def _cut(keep_text: bool):
                 out.append((len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[4], pa.string())] * keep_text, names=names)
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[4], pa.string())] * keep_text + batch.columns[4:], names=names)
 
     return task
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining text).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining text, and the columns to carry).
 
     Bytes are UTF-8; a null text counts as empty.  In ``kept`` a character cut
     in two is left out.  Texts of any length are read whole.  Repeated rows
     are copies of each other, null ids are allowed, other columns are ignored,
     an empty table gives no rows.
     """
-    rows = documents(docs, id_col, text_col)
+    carried = [f"carried_{k}" for k in range(len(carry))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
     ids = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     # Rows are known by their id, or by a hash of id and text where ids repeat or are null.
     row = F.col("doc_id") if ids.isEmpty() else F.xxhash64("doc_id", "text", F.octet_length("text"))
     rows = rows.withColumn("row", row)
     spans = repeated_stretches(rows.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     spans = spans.select("row", F.col("spans.low").alias("lows"), F.col("spans.high").alias("highs"))
-    joined = rows.join(spans, "row", "left").select("doc_id", "text", "lows", "highs")
+    joined = rows.join(spans, "row", "left").select("doc_id", "text", "lows", "highs", *carried)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
-    return joined.mapInArrow(_cut(keep_text), schema)
+    schema += "".join(f", `{c}` {rows.schema[n].dataType.simpleString()}" for c, n in zip(carry, carried, strict=True))
+    return joined.mapInArrow(_cut(keep_text, carry), schema)
