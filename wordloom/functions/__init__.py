@@ -1,0 +1 @@
+"""Column functions: text normalisation, keys, tokens and small parsers."""

@@ -1,0 +1 @@
+"""DataFrame operators: DataFrames in, DataFrames out; nothing is collected."""
