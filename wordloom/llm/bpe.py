@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from wordloom.llm.kernels import small_batches
 from wordloom.llm.common import documents
 
 #: The pre-token pattern of byte-level BPE vocabularies (a fixed value of the format).
@@ -188,7 +189,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [bpe.summary(t) for t in batch.column(1).to_pylist()]
             n, ids, text = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.llm.common import documents
-from wordloom.llm.kernels import U64, mix, slices, windows64
+from wordloom.llm.kernels import U64, mix, slices, small_batches, windows64
 
 WORDS, LANES, WINDOW = 8, 256, 16
 _EXACT = WORDS * 8
@@ -89,7 +89,7 @@ _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         texts, following = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         ends = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(a) + len(b) for a, b in zip(texts, following, strict=True)], out=ends[1:])

@@ -27,11 +27,11 @@ from pyspark.sql.window import Window
 
 from wordloom.llm.common import documents, materialise
 from wordloom.llm.components import connected_components
-from wordloom.llm.kernels import U64, mix, slices
+from wordloom.llm.kernels import U64, mix, slices, small_batches
 from wordloom.llm.shingles import shingle_sets
 from wordloom.llm.trie_join import link_block
 
-_PACKED = "bucket int, batch long, part int, ids binary, digests binary, sizes binary, tokens binary"
+_PACKED = "bucket int, batch long, ids binary, digests binary, sizes binary, tokens binary"
 _COUNTED = "batch long, ids binary, digests binary, sizes binary, shared binary"
 
 
@@ -42,7 +42,7 @@ def digest_of(tokens: np.ndarray) -> int:
 
 def _pack(buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = np.array([-(2**63) if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
@@ -63,34 +63,45 @@ def _pack(buckets: int):
                 for b in range(buckets):
                     part = slice(cuts[b], cuts[b + 1])
                     held = np.bincount(owner[part], minlength=j - i).astype("<u4")
-                    rows.append((b, key, 0, ids[i:j].tobytes() if b == 0 else b"", digests.tobytes(), held.tobytes(), low[part].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])
+                    rows.append((b, key, ids[i:j].tobytes() if b == 0 else b"", digests.tobytes(), held.tobytes(), low[part].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])
 
     return task
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's buckets: in each, marks the tokens that occur in more than one set and sums them by document."""
-    by_bucket: dict[int, list] = {}
+    """Sorted by bucket: in each bucket marks the tokens that occur in more than one set and sums them by document."""
+    held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
-            by_bucket.setdefault(row["bucket"], []).append(row)
-    while by_bucket:
-        _, rows = by_bucket.popitem()
-        sizes = [np.frombuffer(r["sizes"], "<u4") for r in rows]
-        digests = [np.frombuffer(r["digests"], np.int64) for r in rows]
-        tokens = np.concatenate([np.frombuffer(r["tokens"], "<u4") for r in rows])
-        _, sets = np.unique(np.concatenate(digests), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int64), np.concatenate(sizes))
-        order = np.argsort(tokens, kind="stable")
-        token, of = tokens[order], sets[owner][order]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first) if len(token) else np.zeros(0, bool)
-        marked = np.repeat(several, np.diff(np.append(first, len(token))))
-        shared = np.bincount(owner[order], weights=marked, minlength=len(sets)).astype("<u4")
-        at = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
-        columns = [(r["batch"], r["ids"], r["digests"] if r["ids"] else b"", r["sizes"], shared[at[k] : at[k + 1]].tobytes()) for k, r in enumerate(rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=[c.split()[0] for c in _COUNTED.split(", ")])
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if held and held[0]["bucket"] != row["bucket"]:
+                yield _bucket_sums(held)
+                held = []
+            held.append(row)
+    if held:
+        yield _bucket_sums(held)
+
+
+def _bucket_sums(rows: list[dict]) -> pa.RecordBatch:
+    sizes = [np.frombuffer(r["sizes"], "<u4") for r in rows]
+    tokens = np.concatenate([np.frombuffer(r["tokens"], "<u4") for r in rows])
+    _, sets = np.unique(np.concatenate([np.frombuffer(r["digests"], np.int64) for r in rows]), return_inverse=True)
+    kept = [(r["batch"], r["ids"], r["digests"] if r["ids"] else b"", r["sizes"]) for r in rows]
+    rows.clear()
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), np.concatenate(sizes))
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    del order
+    shared = np.zeros(len(sets), "<u4")
+    if len(tokens):
+        of = sets.astype(np.int32)[owner]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+        shared = np.bincount(owner[np.repeat(several, np.diff(np.append(first, len(tokens))))], minlength=len(sets)).astype("<u4")
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
+    columns = [(*k, shared[at[n] : at[n + 1]].tobytes()) for n, k in enumerate(kept)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=[c.split()[0] for c in _COUNTED.split(", ")])
 
 
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,17 +123,17 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == -(2**63)), pa.array(n // len(ids)), pa.array(shared // len(ids)), pa.array(np.frombuffer(d, np.int64))], names=["doc_id", "n_shingles", "shared", "digest"])
 
 
-def shared_counts(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
+def shared_counts(docs: DataFrame, bucket_bytes: int = 14 << 20) -> DataFrame:
     """(doc_id, n_shingles, shared, digest) of documents(doc_id, text): how many of a set's tokens other sets hold too."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(8, total // bucket_bytes), 4096))
-    packed = docs.mapInArrow(_pack(buckets), _PACKED).repartition(buckets, "bucket")
+    packed = docs.mapInArrow(_pack(buckets), _PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     counted = packed.mapInArrow(_count, _COUNTED)
     return counted.repartition(buckets, "batch").mapInArrow(_sum_up, "doc_id long, n_shingles long, shared long, digest long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         texts = [t.encode() for t in batch.column(1).to_pylist()]
         ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
         for i, j in slices(ends, 1 << 21):

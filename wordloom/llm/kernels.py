@@ -44,3 +44,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def windows64(data: np.ndarray) -> np.ndarray:
     """The little-endian 64-bit number that starts at each byte but the last seven."""
     return np.ndarray((max(0, len(data) - 7),), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,)) if len(data) > 7 else np.zeros(0, U64)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time: what is held as Python strings stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.llm.bpe import printable_bytes
+from wordloom.llm.kernels import small_batches
 from wordloom.llm.common import documents, materialise
 
 SIZE, GRID, END = 4096, 8, 2
@@ -109,7 +110,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         if vocabulary not in _LOADED:
             _LOADED[vocabulary] = WordIds(vocabulary)
         words = _LOADED[vocabulary]
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for k in range(0, len(texts), 500):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import materialise
-from wordloom.llm.kernels import U64, mix, slices, utf8, windows64
+from wordloom.llm.kernels import U64, mix, slices, small_batches, utf8, windows64
 from wordloom.llm.suffix_sort import deep_shallow, lcp
 
 LENGTH, GRAM = 200, 32
@@ -209,7 +209,7 @@ def _cut(keep_text: bool, carry: tuple[str, ...]):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text + list(carry)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             lows, highs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for text, low, high in zip(batch.column(1).to_pylist(), lows, highs, strict=True):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _load() -> None:
+    for name in ("aggregates", "joins", "models", "quality", "relational", "search", "sequences", "streams"):
+        importlib.import_module(f"wordloom.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
     """All registered queries."""
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the registered queries that have one."""
+    _load()
     return dict(_SQL)
