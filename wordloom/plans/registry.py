@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    for name in ("aggregates", "joins", "models", "quality", "relational", "search", "sequences", "streams"):
+    for name in ("aggregates", "joins", "search"):
         importlib.import_module(f"wordloom.plans.{name}")
 
 
