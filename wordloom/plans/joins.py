@@ -14,6 +14,14 @@ from wordloom.sources.tables import from_backup, to_backup
 
 _SUFFIXES = ["ing", "ed", "es", "ly", "s"]
 _VOCAB_SQL = f"v AS (SELECT lower(word) AS word, count(*) AS freq FROM ({WORDS_SQL}) GROUP BY 1)"
+#: DuckDB counts edits in bytes, so each accented letter of the tables gets one byte that no word holds.
+_ACCENTS = "ßäçèéêíñóöü"
+
+
+def _bytes_sql(word: str) -> str:
+    return f"translate({word}, '{_ACCENTS}', '0123456789_')"
+
+
 _BENCH_SQL = "b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-zÀ-ɏḀ-ỿ]+'))) AS word FROM benchmark)"
 
 
@@ -67,13 +75,13 @@ def expand_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _strip_sql(w: str) -> str:
     cases = ", ".join(f"CASE WHEN length({w}) > {len(s) + 1} AND suffix({w}, '{s}') THEN left({w}, length({w}) - {len(s)}) END" for s in sorted(_SUFFIXES, key=len, reverse=True))
-    return f"list_filter([{cases}], x -> x IS NOT NULL)"
+    return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
 
 
 @query(
     "cascade_lookup",
     f"""WITH {_VOCAB_SQL}, f AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-zÀ-ɏḀ-ỿ]+'))) AS form, item_id AS entry_id FROM benchmark), fd AS (SELECT DISTINCT form, entry_id FROM f),
-    t AS (SELECT word, flatten(list_transform({_strip_sql('word')}, s -> list_concat([s], {_strip_sql('s')}))) AS forms FROM v),
+    t AS (SELECT word, flatten(list_transform({_strip_sql('word')}, lambda s: list_concat([s], {_strip_sql('s')}))) AS forms FROM v),
     c AS (SELECT word, 0 AS step, 0 AS place, word AS form FROM v UNION ALL SELECT word, 1, i, forms[i] FROM t, unnest(range(1, len(forms) + 1)) u(i)),
     h AS (SELECT c.word, c.step, min(c.place) AS place, fd.entry_id, c.form FROM c JOIN fd ON c.form = fd.form GROUP BY c.word, c.step, fd.entry_id, c.form)
     SELECT word, CAST(step AS INTEGER) AS step, entry_id FROM h QUALIFY step * 1000 + place = min(step * 1000 + place) OVER (PARTITION BY word)""",
@@ -190,7 +198,7 @@ def backup_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_backup(to_backup(customer, "customer"), "customer", {f.name: f.dataType.simpleString() for f in customer.schema})
 
 
-@query("edit1_pairs", f"WITH {_BENCH_SQL} SELECT x.word AS left_word, y.word AS right_word FROM b x JOIN b y ON abs(length(x.word) - length(y.word)) <= 1 AND levenshtein(x.word, y.word) <= 1")
+@query("edit1_pairs", f"WITH {_BENCH_SQL} SELECT x.word AS left_word, y.word AS right_word FROM b x JOIN b y ON abs(length(x.word) - length(y.word)) <= 1 AND levenshtein({_bytes_sql('x.word')}, {_bytes_sql('y.word')}) <= 1")
 def edit1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of benchmark words at most one edit apart."""
     vocabulary = _bench_words(spark, sf_dir).select("word").distinct()
@@ -199,7 +207,7 @@ def edit1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "damerau_nearest",
-    f"WITH {_VOCAB_SQL}, {_BENCH_SQL}, g AS (SELECT * FROM v WHERE freq >= 20) SELECT b.word, g.word AS nearest, g.freq FROM b JOIN g ON b.word <> g.word AND length(b.word) >= 4 AND abs(length(b.word) - length(g.word)) <= 1 AND damerau_levenshtein(b.word, g.word) = 1 QUALIFY row_number() OVER (PARTITION BY b.word ORDER BY g.freq DESC, g.word) = 1",
+    f"WITH {_VOCAB_SQL}, {_BENCH_SQL}, g AS (SELECT * FROM v WHERE freq >= 20) SELECT b.word, g.word AS nearest, g.freq FROM b JOIN g ON b.word <> g.word AND length(b.word) >= 4 AND abs(length(b.word) - length(g.word)) <= 1 AND damerau_levenshtein({_bytes_sql('b.word')}, {_bytes_sql('g.word')}) = 1 QUALIFY row_number() OVER (PARTITION BY b.word ORDER BY g.freq DESC, g.word) = 1",
 )
 def damerau_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent word one edit or exchange away."""
@@ -208,7 +216,7 @@ def damerau_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rare_frequent_flags",
-    f"WITH {_VOCAB_SQL}, r AS (SELECT word FROM v WHERE freq <= 1 AND length(word) >= 5), g AS (SELECT * FROM v WHERE freq >= 50) SELECT r.word, g.word AS nearest FROM r JOIN g ON abs(length(r.word) - length(g.word)) <= 1 AND damerau_levenshtein(r.word, g.word) = 1 WHERE r.word <> g.word || 's' AND g.word <> r.word || 's' QUALIFY row_number() OVER (PARTITION BY r.word ORDER BY g.freq DESC, g.word) = 1",
+    f"WITH {_VOCAB_SQL}, r AS (SELECT word FROM v WHERE freq <= 1 AND length(word) >= 5), g AS (SELECT * FROM v WHERE freq >= 50) SELECT r.word, g.word AS nearest FROM r JOIN g ON abs(length(r.word) - length(g.word)) <= 1 AND damerau_levenshtein({_bytes_sql('r.word')}, {_bytes_sql('g.word')}) = 1 WHERE r.word <> g.word || 's' AND g.word <> r.word || 's' QUALIFY row_number() OVER (PARTITION BY r.word ORDER BY g.freq DESC, g.word) = 1",
 )
 def rare_frequent_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words seen once that look like a misprint of a frequent one."""

@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    for name in ("aggregates", "joins", "search"):
+    for name in ("aggregates", "joins", "quality", "search", "sequences"):
         importlib.import_module(f"wordloom.plans.{name}")
 
 
