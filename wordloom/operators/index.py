@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordloom.functions.keys import MIN_KEY, loose_key
-from wordloom.functions.normalize import exact_of, script_of
+from wordloom.functions.keys import MIN_KEY, loose_indic, loose_roman
+from wordloom.functions.normalize import exact_of, is_indic, script_of
 
 
 def postings(words: DataFrame, key: str = "key", doc: str = "doc_id", min_len: int = MIN_KEY) -> DataFrame:
@@ -89,6 +89,7 @@ def covered_items(query_keys: DataFrame, item_keys: DataFrame, item: str) -> Dat
 
 
 def key_words(words: DataFrame, word: str = "word") -> DataFrame:
-    """Adds ``key``, made once for each different word."""
-    keyed = words.select(word).distinct().withColumn("key", loose_key(F.col(word)))
+    """Adds ``key``, made once for each different word; only words with an Indic letter pass through the Unicode step."""
+    once, indic = words.select(word).distinct(), is_indic(F.col(word))
+    keyed = once.where(~indic).withColumn("key", loose_roman(F.col(word))).unionByName(once.where(indic).withColumn("key", loose_indic(F.col(word))))
     return words.join(keyed, word)
