@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.normalize import digits_to
 
@@ -71,13 +72,13 @@ def decode_ids(blob: bytes) -> list[int]:
     return ids
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_posting(ids: pd.Series) -> pd.Series:
     """Posting list to bytes, for exchange with readers of that format."""
     return ids.map(lambda x: encode_ids([int(i) for i in x]), na_action="ignore")
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def decode_posting(blobs: pd.Series) -> pd.Series:
     """Bytes to posting list."""
     return blobs.map(lambda b: decode_ids(bytes(b)), na_action="ignore")

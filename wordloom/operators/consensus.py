@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from wordloom.functions.tokens import core, marked_tokens
@@ -71,7 +72,7 @@ def _blocks(x: list[str], y: list[str]) -> list[tuple[int | None, int | None]]:
     return pairs
 
 
-_PAIRS = "array<struct<i int, j int>>"
+_PAIRS = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
 
 
 @F.pandas_udf(_PAIRS)
@@ -106,7 +107,7 @@ def error_rate(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) / F.greatest(F.char_length(a), F.lit(1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_error_rate(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of a's tokens that b does not give in the same order."""
 
