@@ -19,16 +19,45 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the copy with the largest id of each text."""
-    dropped = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("digest")).distinct()
+    """Keeps one row of each text: the copy with the largest id, one with a null id only where all are null.
+
+    Of rows that share both id and text, the one with the smallest other columns stays.
+    """
+    found = exact_dedup.exact_dedup(docs).withColumnsRenamed({"doc_id": "id", "text_sha256": "digest"})
+    verdict = materialise(found.groupBy("id", "digest", "kept").count().where("not kept or count > 1"), "exact-verdict")
+    repeated = verdict.where("kept")
     digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]) & (digest == dropped["digest"]), "left_anti").select(*COLUMNS)
+
+    def same(other: DataFrame):
+        return docs["doc_id"].eqNullSafe(other["id"]) & (digest == other["digest"])
+
+    single = docs.join(verdict, same(verdict), "left_anti").select(*COLUMNS)
+    rows = docs.join(repeated, same(repeated), "left_semi").select(digest.alias("digest"), F.struct("doc_id", "lang", "source", "n_chars", "text").alias("one"))
+    return single.unionByName(rows.groupBy("digest").agg(F.min("one").alias("one")).select("one.*").select(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by shingle overlap."""
-    dropped = jaccard_join.jaccard_groups(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the document with the smallest id of each group linked by shingle overlap; null ids come last, equal ones by text.
+
+    Ids may be null or repeat, so texts are told apart by a hash of their own.
+    """
+    # The next seed is taken where two different texts have one hash, or one has the value that stands for a null id.
+    for seed in range(20):
+        row = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed))
+        texts = docs.select(row.alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "doc_id")
+        clashes = texts.groupBy("row").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where(F.expr(f"a != b or row = {-(2**63) + 1} - 1"))
+        if clashes.isEmpty():
+            break
+    else:
+        raise RuntimeError("no seed tells all texts apart")
+    groups = materialise(jaccard_join.jaccard_groups(docs.select(row.alias("row"), "text"), "row").select(F.col("doc_id").alias("row"), "component_id").distinct(), "near-groups")
+    several = groups.where("row != component_id").select("component_id").distinct()
+    members = texts.join(groups.join(several, "component_id", "left_semi"), "row")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "row")
+    members = materialise(members.groupBy("component_id", "row").agg(F.min(rank).alias("rank")), "near-members")
+    kept = members.groupBy("component_id").agg(F.min("rank")["row"].alias("row")).select("row")
+    dropped = members.select("row").join(kept, "row", "left_anti")
+    return docs.withColumn("row", row).join(dropped, "row", "left_anti").select(*COLUMNS)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,3 +275,34 @@ def test_pipeline_stages_against_plain_versions(spark, sf_dir, odd):
             held = [(i, kept.decode("utf-8", "ignore")) for (i, _), (kept, _) in zip(held, repeated_bytes([t.encode() for _, t in held]), strict=True)]
         assert by_text(rows_of(docs, "doc_id", "text")) == by_text(held)
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect(), held)
+
+
+def test_pipeline_keeps_one_copy_of_repeated_and_null_ids(spark, sf_dir, odd):
+    columns = corpus_pipeline.COLUMNS
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+    letters = random.Random(5)
+    clean = [" ".join("".join(letters.choices("abcdefghij", k=7)) for _ in range(90)) for _ in range(4)]
+    # Ingested twice under one id; under null ids only; two ids of other texts that near copies share.
+    rows = [(7_000_001, clean[0], "en", "b"), (7_000_001, clean[0], "en", "a"), (None, clean[1], "en", "a"), (None, clean[1], "en", "b"), (7_000_002, clean[2], "en", "a"), (None, clean[2] + " more", "en", "a"), (7_000_003, clean[2] + " end", "en", "a"), (7_000_003, clean[3], "en", "a")]
+    extra = spark.createDataFrame([(*r, len(r[1])) for r in rows], docs.schema)
+    planted = odd.selectExpr("doc_id + 1000000 as doc_id", "text", "lang", "source", "cast(length(text) as long) as n_chars")
+    docs = docs.unionByName(planted).unionByName(extra)
+    held = rows_of(docs, "doc_id", "text")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir), f"test-{name}")
+        if name == "language_id":
+            held = [(i, t) for i, t in held if any(map(str.isalpha, t or ""))]
+        elif name == "exact_dedup":
+            ids = defaultdict(list)
+            for i, t in held:
+                ids[t].append(i)
+            held = [(max((i for i in own if i is not None), default=None), t) for t, own in ids.items()]
+            assert [r["source"] for r in docs.where("doc_id = 7000001").collect()] == ["a"]
+        elif name == "jaccard_join":
+            order = sorted(held, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+            held = [order[k] for k, _, c in linked_groups([(k, t) for k, (_, t) in enumerate(order)]) if c == k]
+        else:
+            held = [(i, kept.decode("utf-8", "ignore")) for (i, _), (kept, _) in zip(held, repeated_bytes([t.encode() for _, t in held]), strict=True)]
+        assert by_text(rows_of(docs, "doc_id", "text")) == by_text(held)
+    assert {t for _, t in held} >= set(clean)
+    check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect(), held)
