@@ -147,6 +147,28 @@ def test_minimax_cut_is_smallest():
     assert max(parts) == min(max(sizes[:a].sum(), sizes[a:b].sum(), sizes[b:].sum()) for a in range(1, 7) for b in range(a + 1, 8))
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_balanced_cut_has_the_largest_smallest_part(seed):
+    sizes = np.random.default_rng(seed).integers(0, 30, 9) ** 2
+    ways = [[0, a, b, c, 9] for a in range(1, 9) for b in range(a + 1, 9) for c in range(b + 1, 9)]
+    parts = [[int(sizes[x:y].sum()) for x, y in zip(w, w[1:])] for w in ways]
+    cuts = sharding.balanced_cuts(sizes, 4)
+    got = [int(sizes[x:y].sum()) for x, y in zip(cuts, [*cuts[1:], 9], strict=True)]
+    assert (max(got), -min(got)) == min((max(p), -min(p)) for p in parts)
+
+
+def test_large_text_leaves_the_other_shards_even(spark):
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choices("abcdef", k=100))) for k in range(8000)] + [(8000 + k, "z" * 2000) for k in range(200)]
+    sizes = Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        sizes[r["shard"]] += r["size"]
+    rest = sorted(sizes[k] for k in range(40))[:-1]
+    mean = 8000 * 116 / 39
+    assert sizes.total() == 8000 * 116 + 200 * 2016
+    assert len(sizes) == 40 and rest[0] > 0.9 * mean and rest[-1] < 1.1 * mean
+
+
 def plain_judgement(url):
     host = path = ""
     if url and "://" in url:
