@@ -57,6 +57,17 @@ def test_likeness_follows_what_is_shared(documents):
     assert np.mean([r["near_edited"] for r in rows]) > np.mean([r["near_next"] for r in rows]) + 0.15
 
 
+def test_likeness_of_long_runs(spark):
+    letters = np.random.default_rng(2).choice(list("bcdefgh"), 100_000)
+    rows = [(1, "a" * 100_000), (2, "".join(letters)), (3, "a" * 60_000)]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Half of the run stays in the edited text; the last document's next one is a longer run.
+    assert abs(got[1]["near_edited"] - 2 / 3) < 0.05
+    assert abs(got[3]["near_next"] - 60 * 100 / (60**2 + 100**2 - 60 * 100)) < 0.01
+    (a, b), lanes = (fingerprint.from_text(got[k]["fingerprint"]) for k in (1, 3)), fingerprint.from_text(fingerprint.combine(got[1]["fingerprint"], got[3]["fingerprint"]))[1]
+    assert np.abs(a[1]).max() >= 99_985 and (lanes == a[1] + b[1]).all()
+
+
 @pytest.mark.parametrize("table", ["documents", "odd", "empty"])
 def test_bpe_matches_the_library(request, table):
     docs = request.getfixturevalue(table)

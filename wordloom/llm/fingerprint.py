@@ -5,7 +5,7 @@ the sum of its paragraphs' vectors.  The vector has two parts:
 
 * eight 64-bit lanes from a 512-bit digest, summed modulo 2 ** 64, for
   equality; and
-* 256 signed lanes, summed modulo 2 ** 16: every 16-byte window inside the
+* 256 signed lanes, summed modulo 2 ** 32: every 16-byte window inside the
   paragraph (and the paragraph as a whole) adds +1 or -1 to a lane chosen by
   its hash.  The scalar product of two such sums estimates what the texts
   share, whatever their lengths, so likeness can be read off two fingerprints.
@@ -56,17 +56,17 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h = h[inside]
         sums = sums + np.bincount((owner * LANES + (h >> U64(56)).astype(np.int64)) * 2 + (h >> U64(20) & U64(1)).astype(np.int64), minlength=len(sums))
     sums = sums.reshape(len(texts), LANES, 2)
-    return np.add.reduceat(exact, starts, axis=0), (sums[:, :, 0] - sums[:, :, 1]).astype(np.int16)
+    return np.add.reduceat(exact, starts, axis=0), (sums[:, :, 0] - sums[:, :, 1]).astype(np.int32)
 
 
 def to_text(exact: np.ndarray, lanes: np.ndarray) -> str:
     """The printed form: the equality lanes in hex, then the likeness lanes in base64."""
-    return exact.astype("<u8").tobytes().hex() + base64.b64encode(lanes.astype("<i2").tobytes()).decode()
+    return exact.astype("<u8").tobytes().hex() + base64.b64encode(lanes.astype("<i4").tobytes()).decode()
 
 
 def from_text(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     """The lanes of a printed fingerprint."""
-    return np.frombuffer(bytes.fromhex(fingerprint[: 2 * _EXACT]), "<u8"), np.frombuffer(base64.b64decode(fingerprint[2 * _EXACT :]), "<i2")
+    return np.frombuffer(bytes.fromhex(fingerprint[: 2 * _EXACT]), "<u8"), np.frombuffer(base64.b64decode(fingerprint[2 * _EXACT :]), "<i4")
 
 
 def combine(one: str, other: str, sign: int = 1) -> str:
