@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -13,23 +12,15 @@ from pyspark.sql.window import Window
 
 from wordloom.functions.keys import loose_key
 from wordloom.operators.similarity import common_prefix_likeness
+from wordloom.sources.shared import materialise
 
 NULL = ""
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Writes to the folder in spark.checkpoint.dir (the warehouse where it is unset) and reads again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wordloom"
-    path = f"{folder.rstrip('/')}/align-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_likeness(pairs: DataFrame) -> DataFrame:
     """(s, t, likeness) of distinct word pairs by the common start of their loose keys."""
     words = pairs.select(F.col("s").alias("w")).union(pairs.select("t")).distinct()
-    keyed = _cut(words.withColumn("k", loose_key(F.col("w"))))
+    keyed = materialise(words.withColumn("k", loose_key(F.col("w"))), "align")
     a, b = keyed.withColumnsRenamed({"w": "s", "k": "ks"}), keyed.withColumnsRenamed({"w": "t", "k": "kt"})
     return pairs.join(a, "s").join(b, "t").withColumn("likeness", common_prefix_likeness(F.col("ks"), F.col("kt"))).select("s", "t", "likeness")
 
@@ -45,15 +36,15 @@ def ibm_model1(parallel: DataFrame, rounds: int = 6, null_prior: float = 0.3, sp
     """
     source = parallel.select("pair", F.posexplode("source").alias("place", "s"))
     target = parallel.select("pair", F.explode(F.array_union(F.array_distinct("target"), F.array(F.lit(NULL)))).alias("t"))
-    links = _cut(source.join(target, "pair").groupBy("pair", "place", "s", "t").agg(F.count(F.lit(1)).alias("n")).drop("n"))
+    links = materialise(source.join(target, "pair").groupBy("pair", "place", "s", "t").agg(F.count(F.lit(1)).alias("n")).drop("n"), "align")
     likeness = word_likeness(links.where(F.col("t") != NULL).select("s", "t").distinct())
     prior = F.when(F.col("t") == NULL, null_prior).otherwise(1 + spelling_weight * F.coalesce("likeness", F.lit(0.0)))
-    table = _cut(links.select("s", "t").distinct().join(likeness, ["s", "t"], "left").select("s", "t", prior.alias("prior"), F.lit(1.0).alias("p")))
+    table = materialise(links.select("s", "t").distinct().join(likeness, ["s", "t"], "left").select("s", "t", prior.alias("prior"), F.lit(1.0).alias("p")), "align")
     token = Window.partitionBy("pair", "place")
     for _ in range(rounds):
         weighed = links.join(table, ["s", "t"]).withColumn("q", F.col("p") * F.col("prior"))
         counts = weighed.withColumn("post", F.col("q") / F.sum("q").over(token)).groupBy("s", "t", "prior").agg(F.sum("post").alias("c"))
-        table = _cut(counts.withColumn("p", F.col("c") / F.greatest(F.sum("c").over(Window.partitionBy("t")), F.lit(1e-12))).select("s", "t", "prior", F.round("p", 12).alias("p")))
+        table = materialise(counts.withColumn("p", F.col("c") / F.greatest(F.sum("c").over(Window.partitionBy("t")), F.lit(1e-12))).select("s", "t", "prior", F.round("p", 12).alias("p")), "align")
     scored = links.join(table, ["s", "t"]).withColumn("score", F.round(F.col("p") * F.col("prior"), 9))
     best = scored.groupBy("pair", "place", "s").agg(F.min_by("t", F.struct(-F.col("score"), "t")).alias("t"))
     return best.where(F.col("t") != NULL).groupBy("s", "t").agg(F.count(F.lit(1)).alias("times"))

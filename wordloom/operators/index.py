@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from wordloom.functions.keys import MIN_KEY, loose_indic, loose_roman
 from wordloom.functions.normalize import exact_of, is_indic, script_of
+from wordloom.sources.shared import materialise
 
 
 def postings(words: DataFrame, key: str = "key", doc: str = "doc_id", min_len: int = MIN_KEY) -> DataFrame:
@@ -26,8 +27,8 @@ def document_frequency(post: DataFrame, key: str = "key") -> DataFrame:
 
 
 def display_forms(words: DataFrame, df: DataFrame, min_df: int = 8) -> DataFrame:
-    """(key, form, uses) of the commonest form of each key and script, for keys in ``min_df`` documents and more."""
-    used = words.groupBy("key", script_of(F.col("word")).alias("script"), exact_of(F.col("word")).alias("form")).agg(F.count(F.lit(1)).alias("uses"))
+    """(key, form, uses) of the commonest form of each key and script, for keys in ``min_df`` documents and more; ``words``: (key, word, uses)."""
+    used = words.groupBy("key", script_of(F.col("word")).alias("script"), exact_of(F.col("word")).alias("form")).agg(F.sum("uses").alias("uses"))
     first = F.row_number().over(Window.partitionBy("key", "script").orderBy(F.desc("uses"), "form"))
     return used.join(df.where(F.col("df") >= min_df), "key", "left_semi").withColumn("rank", first).where("rank = 1").drop("rank")
 
@@ -88,8 +89,33 @@ def covered_items(query_keys: DataFrame, item_keys: DataFrame, item: str) -> Dat
     return held.join(needed, "query").where("held = needed").select("query", item)
 
 
-def key_words(words: DataFrame, word: str = "word") -> DataFrame:
-    """Adds ``key``, made once for each different word; only words with an Indic letter pass through the Unicode step."""
-    once, indic = words.select(word).distinct(), is_indic(F.col(word))
-    keyed = once.where(~indic).withColumn("key", loose_roman(F.col(word))).unionByName(once.where(indic).withColumn("key", loose_indic(F.col(word))))
-    return words.join(keyed, word)
+def word_table(tokens: DataFrame, word: str = "word", frequent: int = 1000) -> DataFrame:
+    """(word, uses, frequent, key): each different word once, written to the shared folder.
+
+    Keys are made here and nowhere else, so no filter on them reaches the
+    tokens; only words with an Indic letter pass through the Unicode step.
+    ``frequent`` words make up at least one in ``frequent`` of all tokens, so
+    there are at most that many.
+    """
+    counted = tokens.groupBy(word).agg(F.count(F.lit(1)).alias("uses"))
+    counted = materialise(counted, "words")
+    total = counted.agg(F.sum("uses")).first()[0] or 0
+    indic = is_indic(F.col(word))
+    keyed = counted.where(~indic).withColumn("key", loose_roman(F.col(word))).unionByName(counted.where(indic).withColumn("key", loose_indic(F.col(word))))
+    return materialise(keyed.withColumn("frequent", F.col("uses") * frequent >= total), "word-keys")
+
+
+def build(docs: DataFrame, words: Column, carry: tuple[str, ...] = ("doc_id", "source")) -> tuple[DataFrame, DataFrame]:
+    """(word table, postings) of documents; ``words`` is the array of a document's words.
+
+    Postings are (key, *carry), once each.  Each word counts once in a
+    document before anything is shuffled; frequent words, of which there is a
+    bounded number, meet their keys by broadcast, the rest by a shuffled join.
+    """
+    table = word_table(docs.select(F.explode(words).alias("word")))
+    tokens = docs.select(*carry, F.explode(F.array_distinct(words)).alias("word"))
+    often, seldom = (table.where(test).where(F.char_length("key") >= MIN_KEY).select("word", "key") for test in ("frequent", "not frequent"))
+    every = F.broadcast(table.where("frequent").select("word", F.lit(True).alias("often")))
+    marked = tokens.join(every, "word", "left")
+    hits = marked.where("often").join(F.broadcast(often), "word").unionByName(marked.where("often is null").join(seldom, "word"))
+    return table, materialise(hits.select("key", *carry).distinct(), "postings")

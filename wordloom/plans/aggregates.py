@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.tokens import char_ngrams
 from wordloom.operators import lookup, quality, review, similarity
 from wordloom.plans.registry import query, table
-from wordloom.plans.search import KEYED_SQL, WORDS_SQL, document_words, keyed_words
+from wordloom.plans.search import KEYED_SQL, WORDS_SQL, document_words, search_index
 
 
 @query("vocab_freq", f"SELECT lang, lower(word) AS form, count(*) AS tokens, count(DISTINCT doc_id) AS docs FROM ({WORDS_SQL}) GROUP BY ALL")
@@ -38,7 +38,7 @@ def vocab_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("collision_histogram", f"{KEYED_SQL} SELECT least(n, 6)::BIGINT AS size, count(*) AS keys FROM (SELECT key, count(DISTINCT word) AS n FROM k GROUP BY key) GROUP BY 1")
 def collision_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words share a loose key."""
-    return quality.collision_histogram(keyed_words(spark, sf_dir), "key", "word")
+    return quality.collision_histogram(search_index(spark, sf_dir)[0], "key", "word")
 
 
 @query("first_occurrence", f"SELECT lower(word) AS form, min(doc_id) AS first_doc, arg_min(source, doc_id) AS first_source FROM ({WORDS_SQL}) GROUP BY 1")

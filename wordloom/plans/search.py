@@ -22,9 +22,15 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.explode(words(F.col("text"))).alias("word"))
 
 
-def keyed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``document_words`` with the loose key, made once for each word."""
-    return index.key_words(document_words(spark, sf_dir))
+_BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(words, postings) of ``documents``, built once in a session and then read from the shared folder."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _BUILT:
+        _BUILT[name] = index.build(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), words(F.col("text")))
+    return _BUILT[name]
 
 
 def query_keys(spark: SparkSession) -> DataFrame:
@@ -54,7 +60,7 @@ def loose_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("postings_df", f"{KEYED_SQL}, {_POST_SQL} SELECT key, count(DISTINCT doc_id) AS df, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM p GROUP BY key")
 def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index: how many documents hold a key, and the ends of its posting list."""
-    lists = index.posting_lists(index.postings(keyed_words(spark, sf_dir)))
+    lists = index.posting_lists(search_index(spark, sf_dir)[1])
     return lists.select("key", "df", F.element_at("ids", 1).alias("first_doc"), F.element_at("ids", -1).alias("last_doc"))
 
 
@@ -62,7 +68,7 @@ def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold every word of a query, alias groups expanded."""
     expanded = index.expand(query_keys(spark), group_keys(spark))
-    return index.search(expanded, index.postings(keyed_words(spark, sf_dir))).select("query", F.col("unit").alias("doc_id"))
+    return index.search(expanded, search_index(spark, sf_dir)[1]).select("query", F.col("unit").alias("doc_id"))
 
 
 @query(
@@ -74,8 +80,8 @@ def search_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_group_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Like ``search_and``; a query without a document falls back to sources."""
-    keyed = keyed_words(spark, sf_dir).where("char_length(key) >= 3").select("key", "doc_id", "source").distinct()
-    return index.search_with_fallback(index.expand(query_keys(spark), group_keys(spark)), keyed, F.col("source")).select("query", "level", "unit")
+    post = search_index(spark, sf_dir)[1]
+    return index.search_with_fallback(index.expand(query_keys(spark), group_keys(spark)), post, F.col("source")).select("query", "level", "unit")
 
 
 @query("alias_expand", f"WITH {_QUERY_SQL}, {_GROUP_SQL}, {_EXPANDED_SQL} SELECT query, CAST(position AS INTEGER) AS position, key FROM e")
@@ -87,7 +93,7 @@ def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("group_problems", f"{KEYED_SQL}, {_POST_SQL}, {_GROUP_SQL}, d AS (SELECT DISTINCT key FROM p) SELECT grp AS \"group\", sum(CASE WHEN d.key IS NULL THEN 1 ELSE 0 END)::BIGINT AS absent, count(d.key) AS present FROM g LEFT JOIN d ON g.key = d.key GROUP BY grp HAVING sum(CASE WHEN d.key IS NULL THEN 1 ELSE 0 END) > 0 OR count(d.key) < 2")
 def group_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alias groups with a form that the texts don't hold."""
-    df = index.document_frequency(index.postings(keyed_words(spark, sf_dir)))
+    df = index.document_frequency(search_index(spark, sf_dir)[1])
     return index.group_problems(group_keys(spark), df)
 
 
@@ -99,8 +105,8 @@ def group_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commonest spelling of each frequent key."""
-    keyed = keyed_words(spark, sf_dir)
-    return index.display_forms(keyed, index.document_frequency(index.postings(keyed)))
+    found, post = search_index(spark, sf_dir)
+    return index.display_forms(found, index.document_frequency(post))
 
 
 @query(
@@ -112,7 +118,7 @@ def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections of mistyped keys."""
-    df = index.document_frequency(index.postings(keyed_words(spark, sf_dir)))
+    df = index.document_frequency(search_index(spark, sf_dir)[1])
     typed = spark.createDataFrame([(k,) for k in ("thei", "wuth", "nicht", "thas", "licens")], "key string")
     return index.suggest(typed, df)
 
@@ -124,8 +130,7 @@ def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def story_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources whose keys include every key of a query."""
-    keyed = keyed_words(spark, sf_dir).where("char_length(key) >= 3")
-    return index.covered_items(query_keys(spark), keyed, "source")
+    return index.covered_items(query_keys(spark), search_index(spark, sf_dir)[1], "source")
 
 
 @query(
@@ -169,5 +174,5 @@ def rule_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that a coarser rule would join, with the tokens behind them."""
     from wordloom.operators.quality import rule_differences as differences
 
-    counted = keyed_words(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("coarse", rule_b(F.col("key")))
+    counted = search_index(spark, sf_dir)[0].groupBy("key").agg(F.sum("uses").alias("n")).withColumn("coarse", rule_b(F.col("key")))
     return differences(counted, "key", "coarse", "n")
