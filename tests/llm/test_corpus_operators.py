@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -207,7 +208,12 @@ def test_exact_dedup_against_sql(spark, sf_dir):
     assert sorted(got) == sorted(want)
 
 
-@pytest.mark.parametrize("options", [{}, {"capacity": 2}])
+def one_key(text):
+    """A hash under which every text collides."""
+    return F.lit(-5).cast("long") + 0 * F.xxhash64(text)
+
+
+@pytest.mark.parametrize("options", [{}, {"capacity": 2, "range_keys": 3}, {"hash_of": lambda t: F.pmod(F.xxhash64(t), F.lit(5)) - 2}, {"hash_of": one_key, "capacity": 1}])
 def test_exact_dedup_of_odd_rows(odd, empty, options):
     groups = defaultdict(list)
     for i, t in rows_of(odd, "doc_id", "text"):
@@ -221,6 +227,17 @@ def test_exact_dedup_of_odd_rows(odd, empty, options):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_index_is_split_and_held_by_range(spark, documents):
+    rows = exact_dedup.documents(documents).withColumn("key", F.xxhash64("text"))
+    index, directory = exact_dedup.build_index(rows, 8, 20, 1000)
+    sizes = Counter(r["bucket"] for r in index.select("bucket").collect())
+    assert len(sizes) > 16 and max(sizes.values()) <= 8
+    assert len({r["range"] for r in directory.collect()}) > 4
+    folders = index.select("range", F.regexp_extract("_metadata.file_path", "range=([0-9]+)", 1).cast("int").alias("folder"), F.col("_metadata.file_path").alias("file"))
+    assert folders.where("range != folder").isEmpty()
+    assert folders.groupBy("range").agg(F.countDistinct("file").alias("n")).where("n > 1").isEmpty()
+
+
 def test_directory_doubles_until_buckets_fit():
     counts = {s: 1 for s in range(0, 1 << 16, 97)}
     held = Counter()
