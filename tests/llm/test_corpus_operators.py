@@ -269,6 +269,22 @@ def test_jaccard_chains_and_blocks(spark, block_docs):
     assert sorted(got) == sorted(linked_groups(rows))
 
 
+def test_near_copies_under_null_ids_only(spark):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(base)), (None, " ".join([*base, "x"])), (4, "other " * 9), (None, " ".join([*base, "x"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.shared_counts(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"))
+    assert found.count() == 4
+    assert by_text(rows_of(jaccard_join.jaccard_groups(docs), "doc_id", "n_shingles", "component_id")) == by_text(linked_groups(rows))
+
+
+def test_packed_tokens_cost_the_same_in_many_buckets(sf_dir):
+    texts = [(t or "").encode() for (t,) in duckdb.sql(f"select text from '{sf_dir}/documents.parquet'").fetchall()]
+    ids = np.arange(len(texts), dtype=np.int64)
+    cost = {b: sum(len(c) for row in jaccard_join.pack_slice(ids, ids, texts, b) for c in row[3:]) for b in (8, 2000)}
+    assert cost[2000] < 1.2 * cost[8]
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_trie_join_links_what_is_similar(seed):
     rng = random.Random(seed)

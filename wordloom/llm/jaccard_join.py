@@ -1,10 +1,10 @@
 """N-gram Jaccard join: all links between documents whose shingle sets overlap enough.
 
 1. Every text becomes its set of 64-bit shingle hashes.  The tokens go once
-   through a shuffle by hash, packed by bucket, and each bucket counts in how
-   many different sets a token occurs.  A set can only be linked if the share
-   ``num / den`` of its tokens occurs in other sets, which leaves few sets.
-   Equal sets need no comparison: one stands for all.
+   through a shuffle by hash, packed by bucket, and each bucket marks the
+   tokens that occur in more than one set.  A set can only be linked if the
+   share ``num / den`` of its tokens is marked, which leaves few sets.  Equal
+   sets need no comparison: one stands for all.
 2. For the sets left, tokens are ordered by frequency, rarest first.  Two
    linked sets share a token among the first ``n - ceil(n * num / den) + 1``
    of each, so sets that share none of those can't be linked, directly or by
@@ -31,8 +31,9 @@ from wordloom.llm.kernels import U64, mix, slices, small_batches
 from wordloom.llm.shingles import shingle_sets
 from wordloom.llm.trie_join import link_block
 
-_PACKED = "bucket int, batch long, ids binary, digests binary, sizes binary, tokens binary"
-_COUNTED = "batch long, ids binary, digests binary, sizes binary, shared binary"
+_PACKED = "bucket int, batch long, sets int, tokens binary, steps binary, info binary"
+_COUNTED = "batch long, owners binary, shared binary, info binary"
+_MAX_PARTITIONS = 20_000
 
 
 def digest_of(tokens: np.ndarray) -> int:
@@ -40,41 +41,66 @@ def digest_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(tokens.copy()), dtype=U64) ^ U64(len(tokens))], U64))[0].astype(np.int64))
 
 
-def _pack(buckets: int):
+def _batch(columns: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*columns, strict=True)) if columns else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def pack_slice(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int) -> list[tuple]:
+    """Rows of ``_PACKED``: the slice's different sets, a row for each bucket that holds a token of theirs, and one about the documents.
+
+    A token costs its 32 low bits and the step from its set's number to that
+    of the token before, a byte as a rule, whatever the number of buckets.
+    """
+    sets = shingle_sets(texts)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    digests = np.array([digest_of(s) for s in sets], np.int64)
+    _, first, of = np.unique(digests, return_index=True, return_inverse=True)
+    different = [sets[k] for k in first]
+    tokens = np.concatenate(different)
+    owner = np.repeat(np.arange(len(first)), sizes[first])
+    bucket = ((tokens >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")  # by bucket, then by set
+    low, owner, bucket = tokens.astype("<u4")[order], owner[order], bucket[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    steps = np.diff(owner, prepend=0)
+    steps[starts] = owner[starts]
+    # The same key names this slice in every bucket, whichever executor makes it again.
+    batch = int(mix(np.array([np.add.reduce(mix(ids.view(U64) + mix(digests.view(U64).copy())), dtype=U64)], U64))[0].astype(np.int64))
+    info = np.concatenate([ids, keys, digests, sizes, of]).astype("<i8").tobytes()
+    rows = [(batch % buckets, batch, len(first), b"", b"", info)]
+    edges = [*starts.tolist(), len(low)]
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        step = steps[a:z]
+        width = "<u1" if step.max() < 1 << 8 else "<u4"
+        rows.append((int(bucket[a]), batch, len(first), low[a:z].tobytes(), step.astype(width).tobytes(), b""))
+    return rows
+
+
+def _pack(buckets: int, rows: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, rows):
             ids = np.array([-(2**63) if i is None else i for i in batch.column(0).to_pylist()], np.int64)
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            texts = [t.encode() for t in batch.column(2).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-            for i, j in slices(ends, 1 << 21):
-                sets = shingle_sets(texts[i:j])
-                sizes = np.array([len(s) for s in sets], np.int64)
-                digests = np.array([digest_of(s) for s in sets], np.int64)
-                tokens = np.concatenate(sets)
-                owner = np.repeat(np.arange(j - i), sizes)
-                bucket = ((tokens >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")  # by bucket, then by document
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                low = tokens.astype(np.uint32)[order]
-                owner = owner[order]
-                # The same key names this slice in every bucket, whichever executor makes it again.
-                key = int(mix(np.array([np.add.reduce(mix(ids[i:j].view(U64).copy() + digests.view(U64)), dtype=U64)], U64))[0].astype(np.int64))
-                rows = []
-                for b in range(buckets):
-                    part = slice(cuts[b], cuts[b + 1])
-                    held = np.bincount(owner[part], minlength=j - i).astype("<u4")
-                    rows.append((b, key, ids[i:j].tobytes() if b == 0 else b"", digests.tobytes(), held.tobytes(), low[part].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])
+            for i, j in slices(ends, rows << 11):
+                yield _batch(pack_slice(ids[i:j], keys[i:j], texts[i:j], buckets), _PACKED)
 
     return task
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by bucket: in each bucket marks the tokens that occur in more than one set and sums them by document."""
+    """Sorted by bucket: in each bucket marks the tokens that occur in more than one set and sums them by set."""
     held: list[dict] = []
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
+            if row["info"]:
+                yield _batch([(row["batch"], b"", b"", row["info"])], _COUNTED)
+                continue
             if held and held[0]["bucket"] != row["bucket"]:
                 yield _bucket_sums(held)
                 held = []
@@ -84,57 +110,75 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket_sums(rows: list[dict]) -> pa.RecordBatch:
-    sizes = [np.frombuffer(r["sizes"], "<u4") for r in rows]
+    low = np.concatenate([[0], np.cumsum([r["sets"] for r in rows])])
     tokens = np.concatenate([np.frombuffer(r["tokens"], "<u4") for r in rows])
-    _, sets = np.unique(np.concatenate([np.frombuffer(r["digests"], np.int64) for r in rows]), return_inverse=True)
-    kept = [(r["batch"], r["ids"], r["digests"] if r["ids"] else b"", r["sizes"]) for r in rows]
-    rows.clear()
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), np.concatenate(sizes))
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    del order
-    shared = np.zeros(len(sets), "<u4")
-    if len(tokens):
-        of = sets.astype(np.int32)[owner]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
-        shared = np.bincount(owner[np.repeat(several, np.diff(np.append(first, len(tokens))))], minlength=len(sets)).astype("<u4")
-    at = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
-    columns = [(*k, shared[at[n] : at[n + 1]].tobytes()) for n, k in enumerate(kept)]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=[c.split()[0] for c in _COUNTED.split(", ")])
+    parts = []
+    for k, r in enumerate(rows):
+        step = np.frombuffer(r["steps"], "<u1" if 4 * len(r["steps"]) == len(r["tokens"]) else "<u4")
+        parts.append(np.cumsum(step, dtype=np.int64) + low[k])
+    owner = np.concatenate(parts)
+    keys = tokens.astype(U64) << U64(32) | np.arange(len(tokens), dtype=U64)
+    keys.sort()
+    token, at = keys >> U64(32), (keys & U64(0xFFFFFFFF)).astype(np.int64)
+    same = token[1:] == token[:-1]
+    several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    shared = np.bincount(owner[at[several]], minlength=low[-1])
+    out = []
+    for k, r in enumerate(rows):
+        mine = shared[low[k] : low[k + 1]]
+        some = np.flatnonzero(mine)
+        if len(some):
+            out.append((r["batch"], some.astype("<u4").tobytes(), mine[some].astype("<u4").tobytes(), b""))
+    return _batch(out, _COUNTED)
 
 
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the buckets' counts of each slice of documents."""
-    sums: dict[tuple[int, int], list] = {}
+    """Adds up the buckets' counts of each slice of documents, whose rows stand side by side."""
+    now, infos, parts = None, [], []
+
+    def solve() -> Iterator[pa.RecordBatch]:
+        for info in infos:
+            doc, key, digest, n, of = np.frombuffer(info, "<i8").reshape(5, -1)
+            shared = np.zeros(len(of), np.int64)
+            for owners, counts in parts:
+                shared[np.frombuffer(owners, "<u4")] += np.frombuffer(counts, "<u4")
+            # Equal slices (repeated rows) were added up under one key; all their tokens are shared.
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == -(2**63)), pa.array(key), pa.array(n), pa.array(np.minimum(shared[of], n)), pa.array(digest)], names=["doc_id", "key", "n_shingles", "shared", "digest"])
+
     for batch in batches:
         for row in batch.to_pylist():
-            sizes, shared = np.frombuffer(row["sizes"], "<u4").astype(np.int64), np.frombuffer(row["shared"], "<u4").astype(np.int64)
-            key = (row["batch"], len(sizes))
-            held = sums.setdefault(key, [0, 0, [], []])
-            held[0], held[1] = held[0] + sizes, held[1] + shared
-            if row["ids"]:
-                held[2].append(row["ids"])
-                held[3].append(row["digests"])
-    for n, shared, ids, digests in sums.values():
-        # Equal slices (repeated rows) were added up under one key.
-        for i, d in zip(ids, digests, strict=True):
-            doc = np.frombuffer(i, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == -(2**63)), pa.array(n // len(ids)), pa.array(shared // len(ids)), pa.array(np.frombuffer(d, np.int64))], names=["doc_id", "n_shingles", "shared", "digest"])
-
-
-def shared_counts(docs: DataFrame, bucket_bytes: int = 14 << 20) -> DataFrame:
-    """(doc_id, n_shingles, shared, digest) of documents(doc_id, text): how many of a set's tokens other sets hold too."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(max(8, total // bucket_bytes), 4096))
-    packed = docs.mapInArrow(_pack(buckets), _PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+            if row["batch"] != now:
+                yield from solve()
+                now, infos, parts = row["batch"], [], []
+            if row["info"]:
+                infos.append(row["info"])
+            else:
+                parts.append((row["owners"], row["shared"]))
+    yield from solve()
+
+
+def shared_counts(rows: DataFrame, bucket_bytes: int = 40 << 20) -> DataFrame:
+    """(doc_id, key, n_shingles, shared, digest) of rows(doc_id, key, text): how many of a set's tokens other rows hold too.
+
+    An equal set of another slice counts as another set here, so ``shared`` is
+    never too small.  Slices grow with the number of buckets, as far as one
+    Arrow batch goes.
+    """
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-total // bucket_bytes))
+    partitions = min(buckets, _MAX_PARTITIONS)
+    packed = rows.mapInArrow(_pack(buckets, max(1000, buckets)), _PACKED).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     counted = packed.mapInArrow(_count, _COUNTED)
-    return counted.repartition(buckets, "batch").mapInArrow(_sum_up, "doc_id long, n_shingles long, shared long, digest long")
+    summed = counted.repartition(partitions, "batch").sortWithinPartitions("batch")
+    return summed.mapInArrow(_sum_up, "doc_id long, key long, n_shingles long, shared long, digest long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each different text of the task once."""
+    seen: set[tuple[int, int]] = set()
     for batch in small_batches(batches):
-        texts = [t.encode() for t in batch.column(1).to_pylist()]
+        named = [((key, hash(t)), t) for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        texts = [t.encode() for name, t in named if not (name in seen or seen.add(name))]
         ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
         for i, j in slices(ends, 1 << 21):
             sets = shingle_sets(texts[i:j])
@@ -192,11 +236,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are null.  Repeated rows stay, other columns are ignored, an empty table
     gives no rows.
     """
-    rows = documents(docs, id_col, text_col)
+    rows = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), "text")
     counted = materialise(shared_counts(rows), "shared")
-    groups = counted.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("shared").alias("shared"))
-    hopeful = groups.where((F.col("shared") * den >= F.col("n") * num) & F.col("first").isNotNull()).select(F.col("first").alias("doc_id"))
-    sets = rows.join(hopeful.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "digest long, n long, tokens array<long>").where("n > 0").dropDuplicates(["digest"])
+    groups = counted.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("shared").alias("shared"), F.min("key").alias("key"))
+    # Texts are found by their key, so null and repeated ids take part; a key that two texts share only adds a set.
+    hopeful = groups.where(F.col("shared") * den >= F.col("n") * num).select("key")
+    sets = rows.select("key", "text").join(hopeful.distinct(), "key", "left_semi").mapInArrow(_sets, "digest long, n long, tokens array<long>").where("n > 0").dropDuplicates(["digest"])
     links = materialise(link_sets(materialise(sets, "sets"), num, den, block_docs).where("a != b").distinct(), "links")
     joined = connected_components(links).withColumnRenamed("node", "digest")
     named = groups.join(joined, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
