@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tests.llm.brute import WORD, lower_ascii
+from tests.llm.brute import WORD, linked_groups, lower_ascii, plain_restaurants
 from wordloom.llm import bpe, fingerprint, language_id, pitman_yor, queries
 
 
@@ -140,9 +141,55 @@ def test_language_model_of_nothing(empty):
     assert pitman_yor.score_documents(empty).count() == 0
 
 
-def test_symbol_probabilities_sum_to_one(documents):
-    model = pitman_yor.fit(documents.select("text"))
-    contexts = pitman_yor.grams([pitman_yor.spelled("the license of a zebra qqxz")]) & np.uint64((1 << 8 * (pitman_yor.ORDER - 1)) - 1)
-    for context in contexts[::3]:
-        every = context | (np.arange(256, dtype=np.uint64) << np.uint64(8 * (pitman_yor.ORDER - 1)))
-        assert abs(np.power(10.0, model.symbols(every)).sum() - 1) < 1e-3
+@pytest.mark.parametrize("hot", [1 << 20, 12])
+def test_language_model_against_plain_restaurants(spark, hot):
+    rng = random.Random(4)
+    words = ["a", "the", "of", "red", "blue", "one", "two", "Three"]
+    rows = [(k, " ".join(rng.choice(words[: 2 + k % 7]) for _ in range(rng.randrange(12)))) for k in range(60)]
+    rows += [(70, "the of " * 150), (71, "never seen words"), (72, rows[20][1]), (None, "the the"), (73, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, check = plain_restaurants(rows, hot)
+    got = rows_of(pitman_yor.score_documents(docs, hot=hot), "doc_id", "score")
+    again = rows_of(pitman_yor.score_documents(docs.repartition(5), hot=hot, bucket_bytes=40), "doc_id", "score")
+    for found in (got, again):
+        assert np.allclose([s for _, s in sorted(found, key=str)], [s for _, s in sorted(want, key=str)], atol=1e-9)
+    # Over all known words and an unknown one the probabilities of a context sum to one.
+    assert all(abs(sum(row) - 1) < 1e-9 for row in check)
+
+
+def test_tables_follow_their_distribution():
+    d, s, p, others = 0.6, 0.7, 0.2, 3
+    weights = Counter()
+
+    def seat(customers: int, sizes: tuple) -> None:
+        if not customers:
+            weight = 1.0
+            for k, n in enumerate(sizes):
+                weight *= p * (s + d * (others + k))
+                for j in range(1, n):
+                    weight *= j - d
+            weights[len(sizes)] += weight
+            return
+        for k in range(len(sizes)):
+            seat(customers - 1, (*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]))
+        seat(customers - 1, (*sizes, 1))
+
+    seat(6, ())
+    n = 200_000
+    names = np.arange(n, dtype=np.uint64)
+    drawn = np.bincount(pitman_yor.tables_of(np.full(n, 6), np.full(n, p), np.full(n, others), s, d, names, 5), minlength=7) / n
+    assert np.allclose(drawn[1:], [weights[t] / sum(weights.values()) for t in range(1, 7)], atol=0.005)
+    # The asymptotic form beyond EXACT joins on to the exact numbers.
+    for p, others in ((1e-4, 1000), (0.05, 200), (0.2, 3), (0.6, 20)):
+        c = np.repeat([pitman_yor.EXACT, pitman_yor.EXACT + 1], 4000)
+        many = pitman_yor.tables_of(c, np.full(8000, p), np.full(8000, others), s, d, names[:8000], 7)
+        assert abs(many[4000:].mean() / many[:4000].mean() - 1) < 0.06
+
+
+def test_copies_are_scored_apart(documents):
+    texts = {r["doc_id"]: r["text"] for r in documents.select("doc_id", "text").collect()}
+    groups = Counter(c for _, _, c in linked_groups(list(texts.items())))
+    of = {i: c for i, _, c in linked_groups(list(texts.items()))}
+    rows = [r for r in pitman_yor.score_documents(documents).collect() if r["n_tokens"] > 50]
+    single, twice = ([r["score"] / r["n_tokens"] for r in rows if not r["held_out"] and (groups[of[r["doc_id"]]] > 1) == copied] for copied in (False, True))
+    assert len(twice) > 10 and np.median(twice) > np.quantile(single, 0.9)
