@@ -157,7 +157,7 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from solve()
 
 
-def shared_counts(rows: DataFrame, bucket_bytes: int = 40 << 20) -> DataFrame:
+def shared_counts(rows: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
     """(doc_id, key, n_shingles, shared, digest) of rows(doc_id, key, text): how many of a set's tokens other rows hold too.
 
     An equal set of another slice counts as another set here, so ``shared`` is

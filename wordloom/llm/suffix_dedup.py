@@ -168,16 +168,33 @@ def _intervals(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "low", "high"])
 
 
-def repeated_stretches(rows: DataFrame, block_runs: int = 20_000) -> DataFrame:
+def _by_key(rows: DataFrame, facts: DataFrame, key: list[str], hot: int) -> DataFrame:
+    """rows joined to facts(*key, n, ...), one row for each key with n of ``rows``.
+
+    Keys with ``hot`` rows and more, of which there are few, are broadcast, so
+    their rows stay where they are; the others meet in a shuffled join.
+    """
+    names = [c for c in facts.columns if c not in (*key, "n")]
+    often = facts.where(F.col("n") >= hot).select(*key, F.lit(True).alias("often"), *(F.col(c).alias(f"often_{c}") for c in names))
+    marked = rows.join(F.broadcast(often), key, "left")
+    found = marked.where("often").select(*rows.columns, *(F.col(f"often_{c}").alias(c) for c in names))
+    seldom = facts.where(F.col("n") < hot).select(*key, *names)
+    return found.unionByName(marked.where("often is null").select(*rows.columns).join(seldom, key).select(*rows.columns, *names))
+
+
+def repeated_stretches(rows: DataFrame, block_runs: int = 20_000, hot_keys: int = 1000) -> DataFrame:
     """(row, low, high): byte ranges of rows(row, text) that consist of windows which start elsewhere too."""
-    anchors = rows.mapInArrow(_anchor_rows, "anchor long, run long, row long, place long")
+    anchors = materialise(rows.mapInArrow(_anchor_rows, "anchor long, run long, row long, place long"), "anchors")
+    hot = max(10_000, anchors.count() // hot_keys)  # so at most ``hot_keys`` keys are hot
     seen = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).where("n > 1")
-    shared = materialise(anchors.join(seen.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "shared-anchors")
+    seen = materialise(seen.select("anchor", "n", (F.col("low") != F.col("high")).alias("mixed")), "seen-anchors")
+    shared = materialise(_by_key(anchors, seen, ["anchor"], hot), "shared-anchors")
     start, windows = F.shiftright("place", 20), F.col("place").bitwiseAND(1023)
     same = shared.where("not mixed").select("row", start.alias("low"), (start + windows + LENGTH - 1).alias("high"))
     runs = shared.where("mixed").groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("first"))
-    runs = materialise(runs.select("anchor", "run", (F.col("n") == 1).alias("single"), "first.row", "first.place"), "runs")
-    again = shared.where("mixed").join(runs.where("not single").select("anchor", "run"), ["anchor", "run"]).select("row", start.alias("low"), (start + windows + LENGTH - 1).alias("high"))
+    runs = materialise(runs.select("anchor", "run", "n", (F.col("n") == 1).alias("single"), "first.row", "first.place"), "runs")
+    again = _by_key(shared.where("mixed").drop("mixed"), runs.where("not single").select("anchor", "run", "n"), ["anchor", "run"], hot)
+    again = again.select("row", start.alias("low"), (start + windows + LENGTH - 1).alias("high"))
     crowded = runs.groupBy("anchor").count().where(F.col("count") > block_runs).withColumn("blocks", F.expr(f"cast((count + {block_runs - 1}) div {block_runs} as int)")).select("anchor", "blocks")
     placed = runs.join(crowded, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("c", F.pmod("run", F.col("blocks")).cast("int"))
     jobs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("row", F.struct("anchor", "run", "single", "place", F.least("c", "other").alias("c1"), F.greatest("c", "other").alias("c2")).alias("job"))

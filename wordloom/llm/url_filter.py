@@ -2,7 +2,7 @@
 
 Only DataFrame functions and Spark's own ``ml`` estimators are used; nothing
 runs in Python on the executors.  The training table is small and fixed (see
-``LABELLED_URLS``), so fitting takes a bounded time at every input size.
+``labelled_urls``), so fitting takes a bounded time at every input size.
 """
 
 from __future__ import annotations
@@ -15,11 +15,33 @@ from pyspark.sql import functions as F
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: (url, 1 for one to block): the whole training table.
-LABELLED_URLS = (
-    [(f"http://{h}/{p}", 1) for h in ("spam-farm.example.org", "casino-bonus.example.com", "free-pills.example.org", "win-prize.example.com", "cheap-loans.example.org", "adult-chat.example.com", "click-bait.example.org", "warez-mirror.example.com") for p in ("", "en/1", "de/22?utm_source=feed", "fr/333.html", "buy-now/free-offer", "promo?id=7")]
-    + [(f"https://{h}/{p}", 0) for h in ("blog.garden.example.com", "www.library.example.org", "m.weather.example.com", "docs.science.example.org", "news.example.com", "museum.example.org", "m.thother.example.org", "blog.tionble.example.com", "www.therand.example.com", "edition.example.org") for p in ("", "en/1", "de/22?page=2&ref=x", "fr/333.html", "es/44#top", "about/history")]
-)
+#: Words of hosts and paths to block, and of others; the labelled table is built from them.
+BAD_WORDS = ("spam", "casino", "pills", "lottery", "viagra", "payday", "jackpot", "clickbait", "warez", "adult", "linkfarm", "poker", "replica", "cracked", "bonus", "farm")
+GOOD_WORDS = ("garden", "library", "weather", "science", "museum", "recipes", "history", "school", "travel", "music", "health", "city", "forum", "blog", "docs", "news")
+BAD_PATHS = ("buy-now/{w}", "free-{w}-online", "win/{w}/{n}", "cheap-{w}.html", "promo/{n}/{w}", "{w}-offer")
+GOOD_PATHS = ("", "en/{n}", "de/{n}/", "fr/{n}.html", "about/{w}", "es/{n}", "{w}/2024/{n}", "docs/{w}.html", "search", "{n}")
+_SYLLABLES = ("ba", "then", "or", "mi", "tion", "ka", "ver", "lu", "an", "sta", "re", "ing", "do", "el", "phi", "nu")
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """(url, 1 for one to block): a small training table, built by rule from the words above.
+
+    A bad word is in the host, in the path or in both; names without any
+    meaning are among the others, which outnumber the bad ones.
+    """
+    rows = []
+    for k in range(240):
+        a, b, n = BAD_WORDS[k % 16], BAD_WORDS[(k // 16 + 5 * k + 3) % 16], 7 * k % 1000
+        path = BAD_PATHS[k % 6].format(w=b, n=n)
+        name = _SYLLABLES[k % 16] + _SYLLABLES[(k // 3 + 5) % 16] + _SYLLABLES[(k // 7 + 2) % 16]
+        host = (f"{a}-{b}.test", f"www.{a}{n}.test", f"{name}.test")[k % 3]
+        rows.append((f"http://{host}/{path if k % 3 == 2 or k % 2 else GOOD_PATHS[k % 10].format(w=name, n=n)}", 1))
+    for k in range(720):
+        a, n = GOOD_WORDS[k % 16], 11 * k % 1000
+        name = _SYLLABLES[k % 16] + _SYLLABLES[(k // 5 + 3) % 16] + _SYLLABLES[(k // 11 + 7) % 16] * (k % 2)
+        host = (f"www.{a}.test", f"{a}-{name}.test", f"{name}.{a}.test", f"m.{name}.test", f"{name}.test")[k % 5]
+        rows.append((f"https://{host}/{GOOD_PATHS[k % 10].format(w=GOOD_WORDS[k // 3 % 16], n=n)}", 0))
+    return rows
 
 
 def host_of(url: Column) -> Column:
@@ -55,10 +77,10 @@ def with_features(df: DataFrame, features: int) -> DataFrame:
     return HashingTF(numFeatures=features, inputCol="grams", outputCol="features").transform(df.withColumn("grams", terms))
 
 
-def fit(spark: SparkSession, labelled=tuple(LABELLED_URLS), features: int = 1 << 12) -> LogisticRegressionModel:
-    """Fits the regression to a small labelled table."""
+def fit(spark: SparkSession, labelled: list[tuple[str, int]] | None = None, features: int = 1 << 12) -> LogisticRegressionModel:
+    """Fits the regression to a small labelled table, ``labelled_urls()`` unless another is given."""
     url = F.col("url")
-    table = spark.createDataFrame(list(labelled), "url string, label int").select(host_of(url).alias("host"), path_of(url).alias("path"), F.col("label").cast("double").alias("label"))
+    table = spark.createDataFrame(labelled or labelled_urls(), "url string, label int").select(host_of(url).alias("host"), path_of(url).alias("path"), F.col("label").cast("double").alias("label"))
     return LogisticRegression(maxIter=30, regParam=0.01, aggregationDepth=2).fit(with_features(table.coalesce(1), features))
 
 
