@@ -15,8 +15,10 @@ def front_matter(body: Column) -> Column:
     """Map of the ``key: value`` lines between the two ``---`` lines; empty without them."""
     block = F.regexp_extract(body, "(?s)^---\\n(.*?)\\n---", 1)
     lines = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
-    pairs = F.transform(lines, lambda x: F.struct(F.btrim(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), F.btrim(F.regexp_replace(x, "^[^:]*:\\s*", ""), F.lit("\" ")).alias("value")))
-    return F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["key"])), lambda k: F.struct(k.alias("key"), F.filter(pairs, lambda p: p["key"] == k)[0]["value"].alias("value"))))
+    names = F.transform(lines, lambda x: F.btrim(F.regexp_extract(x, "^([^:]*):", 1)))
+    values = F.transform(lines, lambda x: F.btrim(F.regexp_replace(x, "^[^:]*:\\s*", ""), F.lit("\" ")))
+    once = F.array_distinct(names)
+    return F.map_from_arrays(once, F.transform(once, lambda k: F.element_at(values, F.array_position(names, k).cast("int"))))
 
 
 def headed_blocks(files: DataFrame, heading: str) -> DataFrame:
@@ -52,4 +54,4 @@ def chapter_documents(units: DataFrame, by: list[str], order: str, meta: dict[st
 def write_chapters(chapters: DataFrame, reviewed: DataFrame, by: list[str], path: str) -> None:
     """Writes chapters that nobody has reviewed, a folder for each; reviewed ones are never overwritten."""
     fresh = chapters.join(reviewed.select(*by).distinct(), by, "left_anti")
-    fresh.select(*by, F.col("body").alias("value")).write.mode("overwrite").partitionBy(*by).text(path, lineSep="")
+    fresh.select(*by, F.regexp_replace("body", "\\n$", "").alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
