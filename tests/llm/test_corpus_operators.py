@@ -202,6 +202,17 @@ def test_url_filter(spark, sf_dir):
     assert url_filter.judge_urls(pages.limit(0), model).count() == 0
 
 
+def test_urls_are_told_apart_by_names_not_seen_together(spark):
+    bad = [f"http://{a}-{b}.invalid/{p}" for a, b, p in (("casino", "gold", ""), ("bestpills", "shop", "en/1"), ("my", "lottery", "win/now"), ("spam", "world", "de/3"), ("warezland", "x", ""), ("jackpot", "city", "promo/7"))]
+    bad += [f"http://plain{k}.invalid/{p}" for k, p in enumerate(("buy-now/pills", "free-casino-online", "win/jackpot/3", "cheap-replica.html", "promo/9/poker"))]
+    good = [f"https://{h}.invalid/{p}" for h, p in (("library", "about/us"), ("www.weather", "en/22"), ("blog.orchard", "fr/8.html"), ("qwertz", "de/9/"), ("m.zulu", "es/1#top"), ("science.hill", "docs/intro.html"), ("town", ""), ("schoolhouse", "news/2024/3"), ("abcd.river", "search?q=1"), ("nightly", "en/500"))]
+    assert not {u for u, _ in url_filter.labelled_urls()} & set(bad + good)
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(bad + good)], "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, url_filter.fit(spark), rules=()).collect()}
+    right = sum(found[k] == ("block" if k < len(bad) else "allow") for k in found)
+    assert right >= 0.9 * len(found)
+
+
 def test_exact_dedup_against_sql(spark, sf_dir):
     want = duckdb.sql(exact_dedup.EXACT_DEDUP_SQL.replace("FROM documents", f"FROM '{sf_dir}/documents.parquet'")).fetchall()
     got = rows_of(queries.op9_exact_dedup(spark, sf_dir), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
