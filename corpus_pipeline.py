@@ -31,7 +31,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     def same(other: DataFrame):
         return docs["doc_id"].eqNullSafe(other["id"]) & (digest == other["digest"])
 
-    single = docs.join(verdict, same(verdict), "left_anti").select(*COLUMNS)
+    # A merge join at every size: what is dropped grows with the table.
+    single = docs.join(verdict.hint("merge"), same(verdict), "left_anti").select(*COLUMNS)
     rows = docs.join(repeated, same(repeated), "left_semi").select(digest.alias("digest"), F.struct("doc_id", "lang", "source", "n_chars", "text").alias("one"))
     return single.unionByName(rows.groupBy("digest").agg(F.min("one").alias("one")).select("one.*").select(*COLUMNS))
 
@@ -57,7 +58,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     members = materialise(members.groupBy("component_id", "row").agg(F.min(rank).alias("rank")), "near-members")
     kept = members.groupBy("component_id").agg(F.min("rank")["row"].alias("row")).select("row")
     dropped = members.select("row").join(kept, "row", "left_anti")
-    return docs.withColumn("row", row).join(dropped, "row", "left_anti").select(*COLUMNS)
+    return docs.withColumn("row", row).join(dropped.hint("merge"), "row", "left_anti").select(*COLUMNS)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
