@@ -67,6 +67,30 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(_documents(spark, sf_dir))
 
 
+SUFFIX_DEDUP_SQL = """
+WITH texts AS (SELECT doc_id, row_number() OVER () AS row, encode(coalesce(text, '')) AS raw FROM documents),
+bytes AS (SELECT doc_id, row, raw, octet_length(raw) AS n, unnest(range(1, octet_length(raw) + 1)) AS i FROM texts),
+windows AS (SELECT row, i, CASE WHEN i + 199 <= n THEN md5(raw[i:i + 199]) END AS s, hex(raw[i:i]) AS byte FROM bytes),
+repeated AS (SELECT s FROM windows WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
+marked AS (SELECT row, i, byte, max(r.s IS NOT NULL) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM windows w LEFT JOIN repeated r ON w.s = r.s),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row ORDER BY i), false) AS begins FROM marked),
+kept AS (SELECT row, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS h FROM edges GROUP BY row)
+SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (row)
+"""
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+JACCARD_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON r = a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = d.doc_id) AS component_id FROM documents d LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     """Name -> callable(spark, sf_dir)."""
     found = (op1_fingerprint, op2_packing, op3_suffix_dedup, op4_bpe, op5_language_id, op6_sharding, op7_lm_scoring, op8_url_filter, op9_exact_dedup, op10_jaccard_join)
@@ -75,4 +99,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op9_exact_dedup": exact_dedup.EXACT_DEDUP_SQL}
+    return {"op3_suffix_dedup": SUFFIX_DEDUP_SQL, "op9_exact_dedup": exact_dedup.EXACT_DEDUP_SQL, "op10_jaccard_join": JACCARD_SQL}
