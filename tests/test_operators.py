@@ -293,6 +293,17 @@ def test_streams_keep_state(spark, tmp_path):
     assert rows_of(left, "id") == [(0,), (2,)]
 
 
+def test_table_functions_in_sql(spark):
+    from wordloom.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([("One two. Three four", "en"), ("राम। सीता", "hi"), (None, "en")], "t string, lang string").createOrReplaceTempView("given")
+    assert rows_of(spark.sql("SELECT place, word FROM given, LATERAL tokens(t, lang) WHERE lang = 'hi'"), "place", "word") == [(0, "राम"), (1, "सीता")]
+    assert rows_of(spark.sql("SELECT s.sentence FROM given, LATERAL sentences(t) s WHERE lang = 'en'"), "sentence") == [("One two.",), ("Three four",)]
+    assert rows_of(spark.sql("SELECT form FROM edit_keys('abb')"), "form") == [("ab",), ("abb",), ("bb",)]
+    assert rows_of(spark.sql("SELECT gram FROM ngrams('banana', 2)"), "gram") == [("an",), ("ba",), ("na",)]
+
+
 def test_windows_on_a_batch(spark):
     events = spark.createDataFrame([(k, u, t, v) for k, (u, t, v) in enumerate([(1, "2024-01-01 00:05:00", 1.0), (1, "2024-01-01 00:20:00", 2.0), (1, "2024-01-01 02:00:00", 3.0)])], "event_id int, user_id int, ts string, value double").withColumn("ts", F.to_timestamp("ts")).withColumn("event_type", F.lit("x"))
     assert [n for _, n in rows_of(windows.tumbling(events), "start", "n")] == [2, 1]

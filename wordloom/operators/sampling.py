@@ -25,7 +25,9 @@ def block_fold(place: Column, folds: int, block: int = 25) -> Column:
 
 
 def pick_of_day(df: DataFrame, order: list[str], day: Column) -> DataFrame:
-    """The row whose turn it is: day number modulo the number of rows (a small table)."""
-    w = Window.orderBy(*order)
-    numbered = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    return numbered.where(F.col("_at") == F.pmod(day, F.col("_n"))).drop("_at", "_n")
+    """The row whose turn it is: day number (a constant) modulo the number of rows."""
+    n = df.count()
+    if not n:
+        return df.limit(0)
+    at = df.sparkSession.range(1).select(F.pmod(day, F.lit(n)).cast("int")).first()[0]
+    return df.orderBy(*order).offset(at).limit(1)

@@ -161,7 +161,8 @@ def protective_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def occurrence_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second of a repeated label put right."""
     units = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("printed"))
-    fixes = units.select("user_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([("click", 2, "CLICK"), ("view", 2, "VIEW")], "printed string, occurrence int, value string")))
+    wanted = [F.struct(F.lit(p).alias("printed"), F.lit(2).alias("occurrence"), F.lit(p.upper()).alias("value")) for p in ("click", "view")]
+    fixes = units.select("user_id").distinct().select("user_id", F.explode(F.array(*wanted)).alias("f")).select("user_id", "f.*")
     return patches.fix_numbers(units, fixes, ["user_id"], "event_id").select("user_id", "event_id", "number")
 
 

@@ -75,5 +75,5 @@ def split_list(text: Column, mark: str = "\\|") -> Column:
 
 
 def write_report(df: DataFrame, path: str, order: list[str]) -> None:
-    """A review queue as one sorted CSV (small by nature)."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A review queue as CSV files whose names follow the order; a small one is a single file."""
+    df.orderBy(*order).write.mode("overwrite").csv(path, header=True)
