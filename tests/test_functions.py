@@ -137,6 +137,20 @@ def test_parsers(spark):
     assert "hit" in found and found.startswith("…") and found.endswith("…")
 
 
+def test_spans_at_a_place(spark):
+    rows = spark.createDataFrame([("One two. Three four!  End", k) for k in (0, 3, 5, 10, 22, 24, 99)] + [(None, 0), ("", 0)], "t string, at int")
+    words = [tuple(r[0]) if r[0] else None for r in rows.select(parse.span_at(F.col("t"), F.col("at"), "\\S+")).collect()]
+    assert words == [(0, 3), None, (4, 8), (9, 14), (22, 25), (22, 25), None, None, None]
+    sentence = [tuple(r[0]) if r[0] else None for r in rows.select(parse.span_at(F.col("t"), F.col("at"), "[^.!?।॥]+[.!?।॥]*")).collect()]
+    assert sentence == [(0, 8), (0, 8), (0, 8), (9, 20), (22, 25), (22, 25), None, None, None]
+
+
+def test_words_of_several_columns(spark):
+    rows = spark.createDataFrame([("राम। सीता", "ରାମ[?] ସୀତା", None)], "hi string, odia string, en string")
+    found = rows.select(tokens.words_of_columns({"hi": "hi", "odia": "or", "en": "en"})).first()[0]
+    assert [tuple(r) for r in found] == [("hi", "राम"), ("hi", "सीता"), ("or", "ସୀତା")]
+
+
 def test_snippet_cascade(spark):
     rows = spark.createDataFrame([("The Étude of Shiva", ["etude"]), ("nothing here", ["zzz"]), ("An étude by Śiva now", ["shiv"]), (None, ["a"]), ("The ÉTUDE", ["the"])], "t string, q array<string>")
     key = spark.range(1).select(keys.loose_roman(F.lit("Siva"))).first()[0]

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import alignment, assemble, consensus, intervals, patches, quality, reading, review, sampling, sequence
+from wordloom.operators import alignment, assemble, consensus, intervals, lookup, patches, quality, reading, review, sampling, sequence
 from wordloom.sources import markdown, pages, shared, tables, wiki
 from wordloom.streaming import state, windows
 
@@ -204,6 +204,23 @@ def test_lookups_and_patches(spark):
     assert rows_of(intervals.unmatched_units(units, rows, ["vol"]), "a") == [(9,)]
 
 
+def test_lookups_in_ranges_and_groups(spark):
+    ranges = spark.createDataFrame([("v", 1, 3, "a"), ("v", 7, 9, "b"), ("w", 1, 1, "c")], "vol string, low int, high int, name string")
+    points = spark.createDataFrame([("v", k) for k in (0, 1, 3, 5, 9, 10)] + [("x", 1), ("v", None)], "vol string, n int")
+    found = intervals.point_lookup(points, ranges, ["vol"], "n", "low", "high", ["name"])
+    assert rows_of(found.where("n is not null"), "vol", "n", "name") == sorted([("v", 0, None), ("v", 1, "a"), ("v", 3, "a"), ("v", 5, None), ("v", 9, "b"), ("v", 10, None), ("x", 1, None)], key=str)
+    entries = spark.createDataFrame([("rama",), ("sita",)], "form string")
+    words = spark.createDataFrame([("ramah", ["ramah", "rama", "sita"]), ("zzz", ["y"]), ("none", None)], "word string, variants array<string>")
+    assert rows_of(lookup.base_pointers(words, F.col("variants"), entries), "word", "base") == [("ramah", "rama")]
+    meanings = spark.createDataFrame([("k1", "g")], "key string, gloss string")
+    members = spark.createDataFrame([("k1", "a"), ("k1", "b"), ("k2", "c")], "key string, word string")
+    assert rows_of(lookup.spread_to_group(meanings, members, "key"), "word", "gloss") == [("a", "g"), ("b", "g")]
+    payload = json.dumps([{"tag_name": "2.0", "prerelease": True, "assets": []}, {"tag_name": "1.9", "assets": [{"name": "x.apk", "browser_download_url": "u"}, {"name": "x.txt", "browser_download_url": "t"}]}])
+    assert [tuple(r) for r in spark.createDataFrame([(payload,)], "p string").select(tables.releases(F.col("p"), ".apk")).first()[0]] == [("1.9", "u")]
+    stats = tables.stats_row(spark.createDataFrame([(3, None)], "n int, name string"), "counts").first()
+    assert (stats["key"], json.loads(stats["value"])) == ("counts", {"n": 3, "name": None})
+
+
 def test_ordered_rows(spark):
     units = spark.createDataFrame([("g", k, a, b, [1, 2, 3, 4]) for k, (a, b) in enumerate([(1, 1), (None, None), (3, 3), (9, 4), (4, 4)])], "g string, k int, a int, b int, expected array<int>")
     assert rows_of(sequence.repair_numbers(units, ["g"], "k"), "k", "a", "repaired") == [(0, 1, False), (1, 2, True), (2, 3, False), (3, 9, False), (4, 4, False)]

@@ -47,6 +47,27 @@ def nearest_occurrence(text: Column, quote: Column, near: Column) -> Column:
     return F.when(F.size(ranked) > 0, ranked[0]["at"])
 
 
+def span_at(text: Column, at: Column, pattern: str) -> Column:
+    """(start, end) of the match of a pattern that covers a 0-based place, without blanks at its ends; null if none does.
+
+    ``\\S+`` gives the word at a place, ``[^.!?।॥]+[.!?।॥]*`` the sentence.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"((?:{pattern})|[\\s\\S])"), F.lit(1))
+    spans = F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("end"), F.lit(-1).alias("low"), F.lit("").alias("piece")),
+        lambda held, piece: F.struct(
+            (held["end"] + F.char_length(piece)).alias("end"),
+            F.when((held["end"] <= at) & (at < held["end"] + F.char_length(piece)), held["end"]).otherwise(held["low"]).alias("low"),
+            F.when((held["end"] <= at) & (at < held["end"] + F.char_length(piece)), piece).otherwise(held["piece"]).alias("piece"),
+        ),
+    )
+    lead = F.char_length(spans["piece"]) - F.char_length(F.regexp_replace(spans["piece"], "^\\s+", ""))
+    size = F.char_length(F.regexp_replace(F.regexp_replace(spans["piece"], "^\\s+", ""), "\\s+$", ""))
+    covered = (spans["low"] >= 0) & spans["piece"].rlike(f"^(?:{pattern})$") & (size > 0)
+    return F.when(covered, F.struct((spans["low"] + lead).alias("start"), (spans["low"] + lead + size).alias("end")))
+
+
 def encode_ids(ids: list[int]) -> bytes:
     """Sorted distinct ids as differences of seven bits a byte, the top bit set on all but a number's last."""
     out, before = bytearray(), 0

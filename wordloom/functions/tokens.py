@@ -27,6 +27,15 @@ def words(text: Column, lang: str = "iast") -> Column:
     return F.regexp_extract_all(F.translate(text, "।॥", "  "), F.lit(f"({WORD[lang]})"), F.lit(1))
 
 
+def words_of_columns(columns: dict[str, str]) -> Column:
+    """Array of (lang, word) over several text columns; ``columns`` maps each to the language it is cut by."""
+
+    def part(column: str, lang: str) -> Column:
+        return F.transform(words(F.col(column), lang), lambda w: F.struct(F.lit(lang).alias("lang"), w.alias("word")))
+
+    return F.concat(*(part(c, lang) for c, lang in columns.items()))
+
+
 def query_terms(query: Column) -> Column:
     """Words of a query; a query under two characters has none."""
     trimmed = F.btrim(query)

@@ -56,3 +56,10 @@ def candidate_places(missing: DataFrame, known: DataFrame, by: list[str]) -> Dat
     low = floor_join(missing, known.withColumnRenamed("page", "low"), by, "num", "num", ["low"])
     both = ceiling_join(low, known.withColumnRenamed("page", "high"), by, "num", "num", ["high"])
     return expand_ranges(both, "low", "high", "page").select(*by, "num", "page")
+
+
+def point_lookup(points: DataFrame, ranges: DataFrame, by: list[str], at: str, low: str, high: str, values: list[str]) -> DataFrame:
+    """Each point with the values of the range [low, high] it lies in; nulls where it lies in none.  Ranges of a group don't overlap."""
+    held = floor_join(points, ranges.select(*by, low, F.struct(high, *values).alias("_range")), by, at, low, ["_range"])
+    inside = F.col(at) <= F.col("_range")[high]
+    return held.select(*points.columns, *(F.when(inside, F.col("_range")[v]).alias(v) for v in values))

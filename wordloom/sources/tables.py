@@ -69,6 +69,19 @@ def require_version(meta: DataFrame, wanted: str) -> None:
         raise ValueError(f"index version {found[0]['value'] if found else None}, wanted {wanted}")
 
 
+def stats_row(df: DataFrame, key: str) -> DataFrame:
+    """(key, value): a one-row table of figures as JSON, for a key and value table."""
+    return df.limit(1).select(F.lit(key).alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def releases(payload: Column, suffix: str) -> Column:
+    """Array of (version, url) of a release service's answer: files with the suffix, drafts and trials left out."""
+    schema = "array<struct<tag_name:string, draft:boolean, prerelease:boolean, assets:array<struct<name:string, browser_download_url:string>>>>"
+    final = F.filter(F.from_json(payload, schema), lambda r: ~F.coalesce(r["draft"], F.lit(False)) & ~F.coalesce(r["prerelease"], F.lit(False)))
+    files = F.transform(final, lambda r: F.transform(F.filter(r["assets"], lambda a: a["name"].endswith(suffix)), lambda a: F.struct(r["tag_name"].alias("version"), a["browser_download_url"].alias("url"))))
+    return F.flatten(files)
+
+
 def split_list(text: Column, mark: str = "\\|") -> Column:
     """Array of a joined list, empty parts dropped."""
     return F.filter(F.transform(F.split(text, mark), lambda p: F.btrim(p)), lambda p: p != "")
