@@ -36,7 +36,7 @@ from wordloom.llm.suffix_sort import deep_shallow, lcp
 LENGTH, GRAM = 200, 32
 _SPAN = LENGTH - GRAM + 1
 _BITS = U64(22)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _ODD = U64(0x9E3779B97F4A7C15)
 
 
