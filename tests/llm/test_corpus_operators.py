@@ -346,6 +346,16 @@ def test_pipeline_stages_against_plain_versions(spark, sf_dir, odd):
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect(), held)
 
 
+def test_pipeline_of_nothing(spark, sf_dir, empty):
+    from wordloom.llm.common import materialise
+
+    docs = empty.selectExpr("doc_id", "text", "lang", "source", "cast(null as long) as n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"nothing-{name}")
+        assert docs.count() == 0
+    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(docs.columns)
+
+
 def test_pipeline_keeps_one_copy_of_repeated_and_null_ids(spark, sf_dir, odd):
     columns = corpus_pipeline.COLUMNS
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
