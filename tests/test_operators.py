@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -321,6 +322,20 @@ def test_table_functions_in_sql(spark):
     assert rows_of(spark.sql("SELECT gram FROM ngrams('banana', 2)"), "gram") == [("an",), ("ba",), ("na",)]
 
 
+def test_search_index_is_built_once_and_again_if_lost(spark, sf_dir):
+    import shutil
+    from urllib.parse import urlparse
+
+    from wordloom.plans.search import search_index
+
+    one = search_index(spark, sf_dir)
+    assert search_index(spark, sf_dir) is one
+    for df in one:
+        shutil.rmtree(os.path.dirname(urlparse(df.inputFiles()[0]).path))
+    two = search_index(spark, sf_dir)
+    assert two is not one and two[0].count() > 0 and two[1].where("key is null").isEmpty()
+
+
 def test_windows_on_a_batch(spark):
     events = spark.createDataFrame([(k, u, t, v) for k, (u, t, v) in enumerate([(1, "2024-01-01 00:05:00", 1.0), (1, "2024-01-01 00:20:00", 2.0), (1, "2024-01-01 02:00:00", 3.0)])], "event_id int, user_id int, ts string, value double").withColumn("ts", F.to_timestamp("ts")).withColumn("event_type", F.lit("x"))
     assert [n for _, n in rows_of(windows.tumbling(events), "start", "n")] == [2, 1]

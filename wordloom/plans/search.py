@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +27,19 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
+def _readable(tables: tuple[DataFrame, ...]) -> bool:
+    try:
+        for df in tables:
+            df.limit(1).collect()
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
+
+
 def search_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(words, postings) of ``documents``, built once in a session and then read from the shared folder."""
+    """(words, postings) of ``documents``, built once in a session and then read from the shared folder; anew if its files are gone."""
     name = (spark.sparkContext.applicationId, sf_dir)
-    if name not in _BUILT:
+    if name not in _BUILT or not _readable(_BUILT[name]):
         _BUILT[name] = index.build(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), words(F.col("text")))
     return _BUILT[name]
 
