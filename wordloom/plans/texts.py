@@ -13,12 +13,12 @@ from wordloom.plans.registry import query, table
 
 #: Words in three scripts and how they are spelled in others.
 SPELLINGS = (
-    ("कृष्ण", "kṛṣṇa"), ("भागवतम्", "bhāgavatam"), ("श्रीशुक उवाच", "śrīśuka uvāca"), ("ज्ञानं", "jñānaṃ"), ("दुःखम् ।", "duḥkham |"), ("ॐ नमः ॥ १२ ॥", "oṃ namaḥ || 12 ||"),
+    ("कृष्ण", "kṛṣṇa"), ("रामायणम्", "rāmāyaṇam"), ("श्रीशुक उवाच", "śrīśuka uvāca"), ("ज्ञानं", "jñānaṃ"), ("दुःखम् ।", "duḥkham |"), ("ॐ नमः ॥ १२ ॥", "oṃ namaḥ || 12 ||"),
     ("ऐश्वर्य", "aiśvarya"), ("सोऽपि", "so'pi"), ("गौरी", "gaurī"), ("ऋषि", "ṛṣi"), ("पढ़ना", "paḍhanā"), ("plain", "plain"),
 )
 READINGS = (("বন", "बन|वन"), ("কথা", "कथा"), ("হঠাৎ", "हठात्"), ("বববব", ""), ("বিবাহ", "बिबाह|विवाह"))
 SPEAKERS = (("मैत्रेय उवाच", "मैत्रेय"), ("राजोवाच", "राजा"), ("देवक्युवाच", "देवकी"), ("बलिरुवाच", "बलि"), ("श्रीभगवानुवाच", "श्रीभगवान्"), ("ऋषय ऊचुः", "ऋषय"), ("ऋषय ऊचु:", "ऋषय"), ("अथ कथा", None))
-INDIC = ("কৃষ্ণ", "ଭାଗବତ", "राम", "১২৩", "୧୨ ॥", "abc", "বন ରାମ वन")
+INDIC = ("কৃষ্ণ", "ସୀତା", "राम", "১২৩", "୧୨ ॥", "abc", "বন ରାମ वन")
 FIND = ("the", "und", "que", "lès")
 
 
