@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, language_id, packing, pitman_yor, sharding, suffix_dedup, url_filter
+from wordloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, language_id, lexical_search, packing, pitman_yor, sharding, suffix_dedup, token_counts, url_filter, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(_documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return lexical_search.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors."""
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, with a cache of their own."""
+    return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 SUFFIX_DEDUP_SQL = """
 WITH texts AS (SELECT doc_id, row_number() OVER () AS row, encode(coalesce(text, '')) AS raw FROM documents),
 bytes AS (SELECT doc_id, row, raw, octet_length(raw) AS n, unnest(range(1, octet_length(raw) + 1)) AS i FROM texts),
@@ -93,10 +108,10 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(r) FROM reach WHERE r
 
 def queries() -> dict[str, Query]:
     """Name -> callable(spark, sf_dir)."""
-    found = (op1_fingerprint, op2_packing, op3_suffix_dedup, op4_bpe, op5_language_id, op6_sharding, op7_lm_scoring, op8_url_filter, op9_exact_dedup, op10_jaccard_join)
+    found = (op1_fingerprint, op2_packing, op3_suffix_dedup, op4_bpe, op5_language_id, op6_sharding, op7_lm_scoring, op8_url_filter, op9_exact_dedup, op10_jaccard_join, op11_lexical_search, op12_vector_codes, op13_token_counts)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op3_suffix_dedup": SUFFIX_DEDUP_SQL, "op9_exact_dedup": exact_dedup.EXACT_DEDUP_SQL, "op10_jaccard_join": JACCARD_SQL}
+    return {"op3_suffix_dedup": SUFFIX_DEDUP_SQL, "op9_exact_dedup": exact_dedup.EXACT_DEDUP_SQL, "op10_jaccard_join": JACCARD_SQL, "op11_lexical_search": lexical_search.LEXICAL_SEARCH_SQL, "op12_vector_codes": vector_codes.VECTOR_CODES_SQL}
