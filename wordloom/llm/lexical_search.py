@@ -174,7 +174,8 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all numbers, how many each row has) of a column made by ``_binary``."""
-    _, offsets, held = column.cast(pa.large_binary()).buffers()
+    column = column.cast(pa.large_binary())
+    _, offsets, held = column.buffers()
     ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     values = np.frombuffer(held, "<i4", (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.zeros(0, "<i4")
     return values, np.diff(ends) // 4
@@ -211,6 +212,8 @@ class Buckets:
 
     def window(self, ids: np.ndarray, last: np.ndarray, n: np.ndarray, slot: np.ndarray, term: np.ndarray, times: np.ndarray) -> None:
         """Adds documents; ``last`` says whose id is null, ``slot`` is the document of each posting."""
+        if not len(term):
+            return
         by_id = np.lexsort((ids, last))
         place = np.empty(len(ids), np.int64)
         place[by_id] = np.arange(len(ids))
