@@ -128,7 +128,7 @@ def test_markdown_round_trip(spark, tmp_path):
     assert rows_of(split, "title", "speaker", "source", "translation") == [("1", "Sage said", "source line", "its meaning"), ("2", None, None, "plain"), ("x", None, None, "text of x")]
     made = markdown.chapter_documents(units.where("dialect = 'unit'").withColumn("chapter", F.lit(7)), ["chapter"], "place", {"lang": "en"})
     out = str(tmp_path / "out")
-    markdown.write_chapters(made.unionByName(made.withColumn("chapter", F.lit(8))), spark.createDataFrame([(8,)], "chapter int"), ["chapter"], out)
+    markdown.write_chapters(made.unionByName(made.withColumn("chapter", F.lit(8))), ["chapter"], out, spark.createDataFrame([(8,)], "chapter int"))
     again = markdown.read_units(markdown.read_files(spark, out + "/chapter=7"))
     assert rows_of(again, "title", "text") == [("1", "Sage said:\nsource line\n---\nits meaning"), ("2", "plain")]
     assert not (tmp_path / "out" / "chapter=8").exists()
@@ -138,11 +138,6 @@ def test_page_records(spark, tmp_path):
     (tmp_path / "v1_p0007.json").write_text(json.dumps({"_page": {"vol": 1}, "paragraphs": ["a", "b"], "chapter_number": 3}))
     (tmp_path / "other.json").write_text("{}")
     assert rows_of(pages.read_pages(spark, str(tmp_path)), "vol", "page", "chapter_number", "paragraphs") == [(1, 7, 3, ["a", "b"])]
-    lines = ["stray", "@@ 1 12", "HEAD: x", "P: one", "P: two", "nonsense", "@@ 1 13", "P: three"]
-    batch = spark.createDataFrame([("f", k, t) for k, t in enumerate(lines)], "key string, k int, value string")
-    good, bad = pages.parse_batches(batch, "key", "k")
-    assert rows_of(good, "page", "paragraphs") == [(12, ["one", "two"]), (13, ["three"])]
-    assert rows_of(bad, "line") == [("nonsense",), ("stray",)]
     answers = spark.createDataFrame([('```json\n{"found": true, "text": "x"}\n```',), ("{}",), ("broken",), (None,)], "t string")
     assert [r[0]["text"] if r[0] else None for r in answers.select(pages.tolerant_json(F.col("t"), "found boolean, text string", "found")).collect()] == ["x", None, None, None]
     replies = spark.createDataFrame([('[{"id":1,"choice":"a"},{"id":2,"choice":"z"},{"id":3,"text":"own"},{"id":9,"choice":"a"}]',)], "reply string")
@@ -322,20 +317,6 @@ def test_table_functions_in_sql(spark):
     assert rows_of(spark.sql("SELECT gram FROM ngrams('banana', 2)"), "gram") == [("an",), ("ba",), ("na",)]
 
 
-def test_search_index_is_built_once_and_again_if_lost(spark, sf_dir):
-    import shutil
-    from urllib.parse import urlparse
-
-    from wordloom.plans.search import search_index
-
-    one = search_index(spark, sf_dir)
-    assert search_index(spark, sf_dir) is one
-    for df in one:
-        shutil.rmtree(os.path.dirname(urlparse(df.inputFiles()[0]).path))
-    two = search_index(spark, sf_dir)
-    assert two is not one and two[0].count() > 0 and two[1].where("key is null").isEmpty()
-
-
 def test_windows_on_a_batch(spark):
     events = spark.createDataFrame([(k, u, t, v) for k, (u, t, v) in enumerate([(1, "2024-01-01 00:05:00", 1.0), (1, "2024-01-01 00:20:00", 2.0), (1, "2024-01-01 02:00:00", 3.0)])], "event_id int, user_id int, ts string, value double").withColumn("ts", F.to_timestamp("ts")).withColumn("event_type", F.lit("x"))
     assert [n for _, n in rows_of(windows.tumbling(events), "start", "n")] == [2, 1]

@@ -60,11 +60,14 @@ def search(expanded: DataFrame, post: DataFrame, unit: Column | None = None) ->
     return found.join(wanted, "query").where("held = needed").select("query", "unit")
 
 
-def search_with_fallback(expanded: DataFrame, post: DataFrame, coarse: Column) -> DataFrame:
-    """(query, level, unit): document hits, or hits at the coarser level for the queries that have none."""
-    fine = search(expanded, post).withColumn("level", F.lit("document"))
+def with_fallback(expanded: DataFrame, fine: DataFrame, groups: DataFrame) -> DataFrame:
+    """(query, level, unit): the document hits ``fine`` (query, unit), or hits at the coarser level for the queries that have none.
+
+    ``groups``: (key, group), the keys of each group of documents.
+    """
+    fine = fine.select("query", F.lit("document").alias("level"), F.col("unit").cast("string").alias("unit"))
     rest = expanded.join(fine.select("query").distinct(), "query", "left_anti")
-    return fine.withColumn("unit", F.col("unit").cast("string")).unionByName(search(rest, post, coarse).withColumn("level", F.lit("group")).withColumn("unit", F.col("unit").cast("string")))
+    return fine.unionByName(search(rest, groups, F.col("group")).select("query", F.lit("group").alias("level"), F.col("unit").cast("string").alias("unit")))
 
 
 def suggest(keys: DataFrame, df: DataFrame, limit: int = 3) -> DataFrame:

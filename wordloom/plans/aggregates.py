@@ -38,7 +38,7 @@ def vocab_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("collision_histogram", f"{KEYED_SQL} SELECT least(n, 6)::BIGINT AS size, count(*) AS keys FROM (SELECT key, count(DISTINCT word) AS n FROM k GROUP BY key) GROUP BY 1")
 def collision_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words share a loose key."""
-    return quality.collision_histogram(search_index(spark, sf_dir)[0], "key", "word")
+    return quality.collision_histogram(search_index(spark, sf_dir).words, "key", "word")
 
 
 @query("first_occurrence", f"SELECT lower(word) AS form, min(doc_id) AS first_doc, arg_min(source, doc_id) AS first_source FROM ({WORDS_SQL}) GROUP BY 1")

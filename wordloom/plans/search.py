@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.keys import loose_key, loose_roman, loose_sql, rule_b, skeleton_roman
 from wordloom.functions.parse import reference
 from wordloom.functions.tokens import query_terms, words
-from wordloom.operators import index
+from wordloom.operators import index, stored
 from wordloom.plans.registry import query, table
+from wordloom.sources import store
+from wordloom.sources.shared import shared_folder
 
 WORDS_SQL = "SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '[A-Za-zÀ-ɏḀ-ỿ]+')) AS word FROM documents"
 KEYED_SQL = f"WITH w AS ({WORDS_SQL}), k AS (SELECT word, {loose_sql('word')} AS key FROM (SELECT DISTINCT word FROM w))"
@@ -24,24 +26,27 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.explode(words(F.col("text"))).alias("word"))
 
 
-_BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+def index_place(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """(folder of the index over a folder's documents, version that the documents have now)."""
+    documents = f"{sf_dir}/documents.parquet"
+    name = hashlib.sha256(documents.encode()).hexdigest()[:16]
+    return f"{shared_folder(spark)}/search-index/{name}", store.version_of(spark, [documents], stored.RULE)
 
 
-def _readable(tables: tuple[DataFrame, ...]) -> bool:
-    try:
-        for df in tables:
-            df.limit(1).collect()
-    except (Py4JJavaError, PySparkException):
-        return False
-    return True
+def build_index(spark: SparkSession, sf_dir: str) -> str:
+    """Builds the index anew and puts it in force; returns its folder."""
+    root, version = index_place(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return store.publish(spark, root, lambda folder: stored.write_index(*index.build(docs, words(F.col("text"))), folder), version=version)
 
 
-def search_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(words, postings) of ``documents``, built once in a session and then read from the shared folder; anew if its files are gone."""
-    name = (spark.sparkContext.applicationId, sf_dir)
-    if name not in _BUILT or not _readable(_BUILT[name]):
-        _BUILT[name] = index.build(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), words(F.col("text")))
-    return _BUILT[name]
+def search_index(spark: SparkSession, sf_dir: str) -> stored.StoredIndex:
+    """The stored index of ``documents``; built anew where there is none, where the documents' files have changed, or where a file of it is gone."""
+    root, version = index_place(spark, sf_dir)
+    try:
+        return stored.open_index(spark, root, version)
+    except store.Stale:
+        return stored.StoredIndex(spark, build_index(spark, sf_dir))
 
 
 def query_keys(spark: SparkSession) -> DataFrame:
@@ -71,15 +76,14 @@ def loose_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("postings_df", f"{KEYED_SQL}, {_POST_SQL} SELECT key, count(DISTINCT doc_id) AS df, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM p GROUP BY key")
 def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index: how many documents hold a key, and the ends of its posting list."""
-    lists = index.posting_lists(search_index(spark, sf_dir)[1])
-    return lists.select("key", "df", F.element_at("ids", 1).alias("first_doc"), F.element_at("ids", -1).alias("last_doc"))
+    return stored.frequency(search_index(spark, sf_dir).blocks)
 
 
 @query("search_and", f"{KEYED_SQL}, {_QUERY_SQL}, {_GROUP_SQL}, {_EXPANDED_SQL}, {_POST_SQL}, {_HITS_SQL} SELECT query, doc_id FROM h")
 def search_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold every word of a query, alias groups expanded."""
     expanded = index.expand(query_keys(spark), group_keys(spark))
-    return index.search(expanded, search_index(spark, sf_dir)[1]).select("query", F.col("unit").alias("doc_id"))
+    return search_index(spark, sf_dir).search(expanded).select("query", F.col("unit").alias("doc_id"))
 
 
 @query(
@@ -91,8 +95,8 @@ def search_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_group_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Like ``search_and``; a query without a document falls back to sources."""
-    post = search_index(spark, sf_dir)[1]
-    return index.search_with_fallback(index.expand(query_keys(spark), group_keys(spark)), post, F.col("source")).select("query", "level", "unit")
+    held, expanded = search_index(spark, sf_dir), index.expand(query_keys(spark), group_keys(spark))
+    return index.with_fallback(expanded, held.search(expanded), held.groups).select("query", "level", "unit")
 
 
 @query("alias_expand", f"WITH {_QUERY_SQL}, {_GROUP_SQL}, {_EXPANDED_SQL} SELECT query, CAST(position AS INTEGER) AS position, key FROM e")
@@ -104,7 +108,7 @@ def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("group_problems", f"{KEYED_SQL}, {_POST_SQL}, {_GROUP_SQL}, d AS (SELECT DISTINCT key FROM p) SELECT grp AS \"group\", sum(CASE WHEN d.key IS NULL THEN 1 ELSE 0 END)::BIGINT AS absent, count(d.key) AS present FROM g LEFT JOIN d ON g.key = d.key GROUP BY grp HAVING sum(CASE WHEN d.key IS NULL THEN 1 ELSE 0 END) > 0 OR count(d.key) < 2")
 def group_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alias groups with a form that the texts don't hold."""
-    df = index.document_frequency(search_index(spark, sf_dir)[1])
+    df = search_index(spark, sf_dir).document_frequency()
     return index.group_problems(group_keys(spark), df)
 
 
@@ -116,8 +120,8 @@ def group_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commonest spelling of each frequent key."""
-    found, post = search_index(spark, sf_dir)
-    return index.display_forms(found, index.document_frequency(post))
+    held = search_index(spark, sf_dir)
+    return index.display_forms(held.words, held.document_frequency())
 
 
 @query(
@@ -129,7 +133,7 @@ def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections of mistyped keys."""
-    df = index.document_frequency(search_index(spark, sf_dir)[1])
+    df = search_index(spark, sf_dir).document_frequency()
     typed = spark.createDataFrame([(k,) for k in ("thei", "wuth", "nicht", "thas", "licens")], "key string")
     return index.suggest(typed, df)
 
@@ -141,7 +145,7 @@ def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def story_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources whose keys include every key of a query."""
-    return index.covered_items(query_keys(spark), search_index(spark, sf_dir)[1], "source")
+    return index.covered_items(query_keys(spark), search_index(spark, sf_dir).groups.withColumnRenamed("group", "source"), "source")
 
 
 @query(
@@ -185,5 +189,5 @@ def rule_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that a coarser rule would join, with the tokens behind them."""
     from wordloom.operators.quality import rule_differences as differences
 
-    counted = search_index(spark, sf_dir)[0].groupBy("key").agg(F.sum("uses").alias("n")).withColumn("coarse", rule_b(F.col("key")))
+    counted = search_index(spark, sf_dir).words.groupBy("key").agg(F.sum("uses").alias("n")).withColumn("coarse", rule_b(F.col("key")))
     return differences(counted, "key", "coarse", "n")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.sources.shared import materialise
+from wordloom.sources.store import files_of
+
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, body): one row for each file."""
@@ -51,7 +54,27 @@ def chapter_documents(units: DataFrame, by: list[str], order: str, meta: dict[st
     return units.groupBy(*by).agg(F.concat(F.lit(head), F.array_join(blocks, "\n\n"), F.lit("\n")).alias("body"))
 
 
-def write_chapters(chapters: DataFrame, reviewed: DataFrame, by: list[str], path: str) -> None:
-    """Writes chapters that nobody has reviewed, a folder for each; reviewed ones are never overwritten."""
-    fresh = chapters.join(reviewed.select(*by).distinct(), by, "left_anti")
-    fresh.select(*by, F.regexp_replace("body", "\\n$", "").alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+def reviewed_chapters(spark: SparkSession, path: str, by: list[str], schema: str) -> DataFrame:
+    """(by) of the chapters below a folder whose front matter says that they were reviewed; ``schema`` gives the types of ``by``."""
+    if not files_of(spark, path):
+        return spark.createDataFrame([], schema)
+    files = spark.read.schema("value string, " + schema).text(path, wholetext=True)
+    return files.where(F.try_element_at(front_matter(F.regexp_replace("value", "\\r\\n", "\n")), F.lit("verification_status")) == "reviewed").select(*by)
+
+
+def write_chapters(chapters: DataFrame, by: list[str], path: str, reviewed: DataFrame | None = None) -> None:
+    """Writes chapters (by, body), a folder for each; those that somebody has reviewed are never touched.
+
+    Reviewed are the chapters of ``reviewed`` (by) and those whose file in
+    ``path`` says so in its front matter.  Only the folders of chapters that
+    are written are replaced; all others stay as they are, byte for byte.
+    """
+    spark = chapters.sparkSession
+    schema = ", ".join(f"`{c}` {chapters.schema[c].dataType.simpleString()}" for c in by)
+    kept = reviewed_chapters(spark, path, by, schema)
+    if reviewed is not None:
+        kept = kept.unionByName(reviewed.select(*by))
+    fresh = chapters.join(kept.distinct(), by, "left_anti")
+    # What says which chapters are reviewed lies in the folder that is written to: it is settled first.
+    fresh = materialise(fresh.select(*by, F.regexp_replace("body", "\\n$", "").alias("value")), "chapters")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(path)
