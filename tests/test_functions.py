@@ -169,7 +169,7 @@ def test_leaked_titles(spark):
     title = "मोहिनी रूपसे देवोंकी रक्षा"
     texts = [("मोहिनी-रूप से देवोंकी रक्षा — तब शुकदेव बोले", title), ("मोहिनीरूपसै देवोंकी रक्षा तब", title), ("तब शुकदेव बोले", title), ("short title", "short"), (None, title), ("text", None)]
     rows = spark.createDataFrame(texts, "t string, title string")
-    assert [r[0] for r in rows.select(scripts.strip_title("t", "title")).collect()] == ["तब शुकदेव बोले", "तब", "तब शुकदेव बोले", "short title", None, "text"]
+    assert [r[0] for r in rows.select(scripts.strip_title(F.col("t"), F.col("title"))).collect()] == ["तब शुकदेव बोले", "तब", "तब शुकदेव बोले", "short title", None, "text"]
 
 
 def test_near_copies_against_all_pairs(spark):

@@ -259,7 +259,9 @@ def test_readers_tools(spark):
         if near_ and near_[0][0] >= 3 and (len(near_) == 1 or near_[0][0] >= 3 * near_[1][0]):
             want.append((w, near_[0][1]))
     assert rows_of(reading.dominant_fix(spark.createDataFrame([(w,) for w in words], "word string"), table), "word", "fixed") == sorted(want) and want
-    remove = reading.remove_original("॥", "[a-z]+")
+    def remove(text, original):
+        return reading.remove_original(F.col(text), F.col(original), "॥", "[a-z]+")
+
     text = "Here it is: omaa namo bhaga vate ॥ and this is the translation of it"
     rows = spark.createDataFrame([(text, "oma namo bhagav vate"), ("omaa only ॥", "oma namo bhaga vate"), (None, "x")], "t string, o string")
     assert [r[0] for r in rows.select(remove("t", "o")).collect()] == ["and this is the translation of it", "omaa only ॥", None]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wordloom.functions.keys import _MARKED, _PLAIN, loose_roman
 from wordloom.functions.normalize import digits_to, drop, shift_block
@@ -52,17 +52,19 @@ def bengali_readings(word: Column, most: int = 3) -> Column:
     return F.when(count <= most, F.array_distinct(F.array(reading("ब"), reading("व")))).otherwise(F.array().cast("array<string>"))
 
 
+#: Endings that the word for "said" leaves on a name, with the letters to take off and what to put there.
+SPEAKER_ENDINGS = (("ो", 1, "ा"), ("ानु", 1, "्"), ("्यु", 3, "ी"), ("रु", 2, ""))
+
+
 def speaker_stem(line: Column) -> Column:
     """The name in a Sanskrit speaker line ("X said"), with the joining of sounds undone; null for other lines."""
     text = F.replace(F.btrim(line), F.lit("ऊचु:"), F.lit("ऊचुः"))
     many = F.nullif(F.btrim(F.regexp_replace(text, "ऊचुः$", "")), F.lit(""))
     word = F.replace(F.btrim(F.regexp_replace(F.btrim(F.regexp_replace(text, "वाच$", "")), " उ$", "")), F.lit(" "), F.lit(""))
-    size = F.char_length(word)
-
-    def cut(n: int, ending: str) -> Column:
-        return F.concat(F.substr(word, F.lit(1), size - n), F.lit(ending))
-
-    one = F.when(word == "", None).when(word.endswith("ो"), cut(1, "ा")).when(word.endswith("ानु"), cut(1, "्")).when(word.endswith("्यु"), cut(3, "ी")).when(word.endswith("रु"), cut(2, "")).otherwise(word)
+    one = word
+    for ending, n, instead in reversed(SPEAKER_ENDINGS):
+        one = F.when(word.endswith(ending), F.concat(F.substr(word, F.lit(1), F.char_length(word) - n), F.lit(instead))).otherwise(one)
+    one = F.nullif(one, F.lit(""))
     return F.when(text.endswith("ऊचुः"), many).when(text.endswith("वाच"), one)
 
 
@@ -172,31 +174,25 @@ def edit_neighbours(word: Column, alphabet: str) -> Column:
     return F.array_remove(F.array_distinct(F.concat(cut, changed, longer, turned)), word)
 
 
-def _title_end(text: str, title: str) -> int:
-    """How much of the text a leaked title takes up; 0 where it doesn't begin with one."""
-    noise = set("‌‍ \t\r\n -‐‑‒–—,.;:।॥'’\"()")
-    want = [c for c in title if c not in noise]
-    if len(want) < 10:
-        return 0
-    have = [(k, c) for k, c in enumerate(text[: 2 * len(title) + 40]) if c not in noise][: len(want) + 4]
-    if len(have) < len(want) - 4:
-        return 0
-    row = list(range(len(have) + 1))
-    for i, a in enumerate(want, 1):
-        last, row = row, [i]
-        for j, (_, b) in enumerate(have, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
-    low = max(1, len(want) - 4)
-    best = min(range(low, len(row)), key=lambda j: (row[j], j), default=0)
-    return have[best - 1][0] + 1 if best and row[best] <= max(1, len(want) // 12) else 0
-
-
-@F.pandas_udf(T.StringType())
-def strip_title(text: pd.Series, title: pd.Series) -> pd.Series:
-    """Without a title that leaked into the start of the text; spacing, punctuation and a few letters may differ."""
-
-    def strip(t: str | None, name: str | None) -> str | None:
-        end = _title_end(t, name) if t and name else 0
-        return t[end:].lstrip(" \t\r\n‌‍-–—") if end else t
-
-    return pd.Series([strip(t, n) for t, n in zip(text, title, strict=True)], dtype="object")
+#: What doesn't count when a title is compared, and what goes with a title that is taken off.
+TITLE_NOISE, TITLE_TAIL = "\u200c\u200d \t\r\n-\u2010\u2011\u2012\u2013\u2014,.;:\u0964\u0965'\u2019\"()", "\u200c\u200d \t\r\n\\-\u2013\u2014"
+
+
+def strip_title(text: Column, title: Column, least: int = 10, reach: int = 4, one_in: int = 12) -> Column:
+    """Without a title that leaked into the start of the text; spacing, punctuation and a few letters may differ.
+
+    The title's letters are compared with every start of the text that has up
+    to ``reach`` letters more or fewer.  The nearest one goes, the shortest of
+    equals, if at most one letter in ``one_in`` (or one) differs.  Titles of
+    fewer than ``least`` letters are left alone.
+    """
+    want = drop(title, TITLE_NOISE)
+    size = F.char_length(want)
+    have = drop(F.substr(text, F.lit(1), 2 * F.char_length(title) + 40), TITLE_NOISE)
+    lengths = F.filter(F.sequence(F.greatest(size - reach, F.lit(1)), size + reach), lambda j: j <= F.char_length(have))
+    starts = F.transform(lengths, lambda j: F.struct(F.levenshtein(want, F.substr(have, F.lit(1), j)).alias("distance"), j.alias("letters")))
+    best = F.array_min(starts)
+    leaked = (size >= least) & (best["distance"] <= F.greatest(F.lit(1), F.floor(size / one_in)))
+    noise = re.escape(TITLE_NOISE)
+    lead = F.concat(F.lit(f"^(?:[{noise}]*[^{noise}]){{"), best["letters"].cast("string"), F.lit(f"}}[{TITLE_TAIL}]*"))
+    return F.when(leaked, F.regexp_replace(text, lead, F.lit(""))).otherwise(text)

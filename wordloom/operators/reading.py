@@ -148,39 +148,46 @@ def dominant_fix(words: DataFrame, freq: DataFrame, least: int = 3, factor: int
     return ranked.where((F.col("rank") == 1) & (F.col("freq") >= least) & (F.col("second").isNull() | (F.col("freq") >= factor * F.col("second")))).select(F.col("left_word").alias("word"), F.col("right_word").alias("fixed"))
 
 
-def _without_chunk(text: str, original: str, mark, word, longest: int = 450) -> str:
-    """The text without the passage that opens with the original's first words and ends at the next marker, if it looks like the original."""
-    words = word.findall(original)
-    if len(words) < 4:
-        return text
-    flat = " ".join(text.split())
-    opening = flat.find(f"{words[0]} {words[1]}")
-    if opening < 0 and len(words[0]) >= 6:
-        opening = flat.find(words[0])
-    whole = "".join(words)
-    for start in dict.fromkeys(k for k in (opening, 0) if k >= 0):
-        end = mark.search(flat, start)
-        if end is None or end.end() - start > longest:
-            continue
-        letters = "".join(word.findall(flat[start : end.start()]))
-        rest = f"{flat[:start]} {flat[end.end() :]}".strip()
-        likeness = difflib.SequenceMatcher(None, letters, whole, autojunk=False).ratio()
-        if likeness >= 0.62 and 0.6 <= len(letters) / len(whole) <= 1.6 and len(rest) >= 20:
-            return rest
-    return text
-
-
-def remove_original(marker: str, letters: str):
-    """A function of (text, original) columns: the text without a copy of the original that stands in it before its marker."""
-
-    @F.pandas_udf("string")
-    def remove(text: pd.Series, original: pd.Series) -> pd.Series:
-        import re
-
-        mark, word = re.compile(marker), re.compile(letters)
-        return pd.Series([_without_chunk(t, o or "", mark, word) if t is not None else None for t, o in zip(text, original, strict=True)], dtype="object")
-
-    return remove
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def likenesses(candidates: pd.Series, whole: pd.Series) -> pd.Series:
+    """Ratio of matching blocks of each candidate and the whole, 0 to 1."""
+    return pd.Series([[difflib.SequenceMatcher(None, c, w, autojunk=False).ratio() for c in cs] if cs is not None else None for cs, w in zip(candidates, whole, strict=True)])
+
+
+#: The longest passage, the least likeness, the bounds of its length against the original's, and the least that must be left.
+PASSAGE, ALIKE, SHORTER, LONGER, LEFT = 450, 0.62, 0.6, 1.6, 20
+
+
+def remove_original(text: Column, original: Column, marker: str, letters: str) -> Column:
+    """The text without a copy of the original that stands in it before its marker.
+
+    A copy may begin where the original's first two words stand (or the first
+    alone, from six letters on), or at the text's start, and ends at the next
+    marker.  The first such passage goes that is like the original in letters
+    and length and leaves enough of the text; white space becomes single
+    blanks then.  A text without one stays as it is, a null one is null.
+    """
+    flat = F.btrim(F.regexp_replace(text, "\\s+", " "))
+    words = F.regexp_extract_all(F.coalesce(original, F.lit("")), F.lit(f"({letters})"), F.lit(1))
+    first = F.try_element_at(words, F.lit(1))
+    two = F.position(F.concat_ws(" ", first, F.try_element_at(words, F.lit(2))), flat)
+    opening = F.when(two > 0, two).when(F.char_length(first) >= 6, F.position(first, flat)).otherwise(0)
+    starts = F.array_distinct(F.filter(F.array(opening, F.lit(1)), lambda s: s > 0))
+
+    def passage(start: Column) -> Column:
+        found = F.regexp_substr(F.substr(flat, start, F.char_length(flat)), F.lit(f"(?s)^.*?(?:{marker})"))
+        own = F.array_join(F.regexp_extract_all(F.regexp_replace(found, f"(?:{marker})$", ""), F.lit(f"({letters})"), F.lit(1)), "")
+        rest = F.btrim(F.concat(F.substr(flat, F.lit(1), start - 1), F.lit(" "), F.substr(flat, start + F.char_length(found), F.char_length(flat))))
+        return F.struct(F.char_length(found).alias("size"), own.alias("letters"), rest.alias("rest"))
+
+    whole = F.array_join(words, "")
+    spans = F.filter(F.transform(starts, passage), lambda c: c["size"] <= PASSAGE)
+    ratio = likenesses(F.transform(spans, lambda c: c["letters"]), whole)
+    alike = F.filter(
+        F.transform(F.arrays_zip(spans.alias("spans"), ratio.alias("ratio")), lambda z: F.struct(z["spans"].alias("span"), (F.char_length(z["spans"]["letters"]) / F.char_length(whole)).alias("length"), z["ratio"].alias("ratio"))),
+        lambda z: (z["ratio"] >= ALIKE) & z["length"].between(SHORTER, LONGER) & (F.char_length(z["span"]["rest"]) >= LEFT),
+    )
+    return F.when(F.size(words) >= 4, F.coalesce(F.try_element_at(alike, F.lit(1))["span"]["rest"], text)).otherwise(text)
 
 
 STEPS = ("exact", "form", "stem", "nasal", "no nukta", "cross-script", "book")
