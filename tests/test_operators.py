@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+import itertools
 import json
 import os
 import random
@@ -61,6 +63,20 @@ def test_titles_and_blocks(spark):
     assert rows_of(alignment.align_titles(entries, chapters, "by"), "number", "title") == [(1, "The birth of Krishna"), (3, "Killing of Kamsa")]
     fits = spark.createDataFrame([("g", b, c, s, f) for b, c, s, f in ((1, 1, 1, 0.1), (1, 1, 2, 0.9), (2, 2, 2, 0.1), (2, 2, 3, 0.8), (2, 2, 9, 1.0))], "by string, block int, current int, slot int, fit double")
     assert rows_of(alignment.place_blocks(fits, "by"), "block", "slot") == [(1, 2), (2, 3)]
+    # Bound to a region: a block outside stays, one inside moves within; checked against all placements.
+    rng = random.Random(4)
+    for case in range(4):
+        table = [("g", b, b, s, round(rng.random(), 2)) for b in range(5) for s in range(5)]
+        inside = {1, 2, 3} if case % 2 else {0, 1, 3}
+        got = alignment.place_blocks(spark.createDataFrame(table, "by string, block int, current int, slot int, fit double"), "by", region=spark.createDataFrame([("g", s) for s in inside], "by string, slot int"), least_gain=0.0)
+        chosen = [s for _, s in rows_of(got, "block", "slot")]
+        fit = {(b, s): f for _, b, _, s, f in table}
+
+        def worth(place):
+            return sum(fit[b, s] for b, s in enumerate(place)) - 0.05 * sum(x == y for x, y in zip(place, place[1:], strict=False))
+
+        ways = [p for p in itertools.product(range(5), repeat=5) if list(p) == sorted(p) and all(s == b or (abs(s - b) <= 3 and s in inside and b in inside) for b, s in enumerate(p))]
+        assert tuple(chosen) in ways and abs(worth(chosen) - max(map(worth, ways))) < 1e-9
     lines = spark.createDataFrame([("p", 1, "helo wrld", "hello world and more"), ("p", 2, "an mor", "hello world and more")], "page string, line int, rough string, good string")
     assert rows_of(alignment.lines_from_page(lines, ["page"]), "line", "text") == [(1, "hello world"), (2, "and more")]
 
@@ -88,8 +104,11 @@ def test_pages_of_three_readings(spark):
     assert [r[0] for r in three.select(consensus.comparison_class(F.col("x"), F.col("y"), F.col("z"))).collect()] == ["same", "stored_wrong", "reader_wrong", "unclear"]
     ranked = spark.createDataFrame([(1, "good", -5.0, 0), (1, "bad", -2.0, 1), (1, "worse", -9.0, 0)], "k int, text string, loglik double, unknown int")
     assert rows_of(consensus.rescore(ranked, ["k"]), "k", "text") == [(1, "good")]
-    fixed = consensus.fix_misreads(spark.createDataFrame([("rnan",), ("man",)], "word string"), spark.createDataFrame([("rn", "m"), ("n", "u")], "old string, new string"), spark.createDataFrame([("man", 50), ("ruau", 2)], "word string, freq int"))
-    assert rows_of(fixed, "word", "fixed") == [("rnan", "man")]
+    freq = spark.createDataFrame([("rnan", 1), ("man", 50), ("ruau", 9), ("rnar", 4), ("mar", 90), ("rnat", 3), ("mat", 9), ("rnap", 1), ("map", 2)], "word string, freq int")
+    listed = spark.createDataFrame([(1, "n", "u"), (0, "rn", "m")], "place int, old string, new string")
+    assert rows_of(consensus.fix_misreads(freq, listed), "word", "fixed") == [("rnan", "man")]
+    other = spark.createDataFrame([(0, "n", "u"), (1, "rn", "m")], "place int, old string, new string")
+    assert rows_of(consensus.fix_misreads(freq, other), "word", "fixed") == [("rnan", "ruau")]
 
 
 def test_units_from_pages(spark):
@@ -99,6 +118,10 @@ def test_units_from_pages(spark):
     units = [("v", k, a, h, c, r) for k, (a, h, c, r) in enumerate([(1, None, None, 1), (2, None, True, 1), (3, None, None, None), (1, None, None, None), (2, 7, None, None), (3, None, None, 9), (4, None, None, 9)])]
     chapters = assemble.chapter_breaks(spark.createDataFrame(units, "vol string, k int, a int, heading int, colophon boolean, running_head int"), ["vol"], "k")
     assert [c for _, c in rows_of(chapters, "k", "chapter")] == [1, 1, 2, 3, 7, 7, 9]
+    strict = assemble.mark_strict(spark.createDataFrame(units, "vol string, k int, a int, heading int, colophon boolean, running_head int"), spark.createDataFrame([("v", 2, 3)], "vol string, first int, last int"), ["vol"], "k")
+    assert [c for _, c in rows_of(assemble.chapter_breaks(strict, ["vol"], "k"), "k", "chapter")] == [1, 1, 1, 1, 7, 7, 9]
+    flagged = spark.createDataFrame([("v", 1, ["first part ॥ 1 ॥ second[?]"], ["skewed"]), ("v", 2, ["goes on ॥ 2 ॥"], None)], "vol string, page int, paragraphs array<string>, flags array<string>")
+    assert rows_of(assemble.assemble_units(flagged, ["vol"], "page"), "unit", "flags") == [(0, ["short", "skewed"]), (1, ["uncertain", "continued", "skewed"])]
     flags = spark.createDataFrame([("ok text of some length", True), ("x[?] <", False)], "t string, c boolean").select(assemble.unit_flags(F.col("t"), F.col("c")))
     assert [r[0] for r in flags.collect()] == [[], ["uncertain", "stray_symbols", "no_end_marker", "short"]]
 
@@ -270,6 +293,26 @@ def test_readers_tools(spark):
     assert reading.missing_columns(table, ["word", "lang"]) == ["lang"]
 
 
+def test_support_is_that_of_all_pairs(spark, sf_dir):
+    from wordloom.functions.tokens import query_terms
+    from wordloom.operators.support import best_support
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(12).select("item_id", F.array_distinct(query_terms(F.lower("text"))).alias("mine"))
+    items = items.unionByName(spark.createDataFrame([(900, ["hause", "the", "river"]), (901, []), (902, None), (903, ["zzzz"]), (None, ["house", None])], "item_id long, mine array<string>"))
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").limit(40).select(F.array_distinct(query_terms(F.lower("text"))).alias("pool"))
+    texts = texts.unionByName(spark.createDataFrame([(["house", "the"],), ([],), (None,), (["rivver", "river", None],)], "pool array<string>"))
+    pools = [[w for w in r["pool"] or [] if w is not None] for r in texts.collect()]
+    for least, block in ((1, 8 << 20), (2, 2000)):
+        want = {}
+        for r in items.collect():
+            mine = [w for w in r["mine"] or [] if w is not None]
+            shares = [sum(bool(difflib.get_close_matches(w, p, 1, 0.78)) for w in mine) / len(mine) for p in pools if len(set(mine) & set(p)) >= least]
+            if shares:
+                want[r["item_id"]] = max(shares)
+        got = best_support(items, texts.repartition(3), "item_id", "mine", "pool", least, block)
+        assert {r["item_id"]: r["support"] for r in got.collect()} == want and len(want) > 5
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -319,6 +362,44 @@ def test_table_functions_in_sql(spark):
     assert rows_of(spark.sql("SELECT gram FROM ngrams('banana', 2)"), "gram") == [("an",), ("ba",), ("na",)]
 
 
+def test_expressions_in_sql_stay_in_the_jvm(spark, sf_dir):
+    from wordloom.functions import keys, sql, tokens
+
+    sql.register_expressions(spark, ["s", "ed", "ing"])
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(tokens.words(F.col("text"))).alias("word")).distinct().unionByName(spark.createDataFrame([("কৃষ্ণ",), ("ସୀତା",), ("का\u093c\u094d",), ("stringeds",), ("",), (None,)], "word string")).createOrReplaceTempView("said")
+    found = spark.sql("SELECT word, loose_key(word) AS k, skeleton_key(word) AS s, stems(word) AS st, ngram_list(word, 3) AS g, edit_forms(word) AS e, script_of(word) AS sc FROM said")
+    plan = found._jdf.queryExecution().toString()
+    assert not any(name in plan for name in ("Python", "Pandas", "Arrow"))
+    w = F.col("word")
+    want = spark.table("said").select("word", keys.loose_key(w).alias("k"), keys.skeleton_roman(w).alias("s"), tokens.stems(w, ["s", "ed", "ing"]).alias("st"), tokens.char_ngrams(w, 3).alias("g"), tokens.edit_keys(w).alias("e"), sql.script_of(w).alias("sc"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert spark.sql("SELECT stems('stringeds') AS s").first()["s"] == tokens_of("stringeds", ["s", "ed", "ing"])
+    assert spark.sql("SELECT k, count(*) AS n FROM (SELECT loose_key(word) AS k FROM said) GROUP BY k HAVING n > 1").count() > 0
+    assert spark.sql("SELECT round(wilson(8, 10).low, 4) AS low").first()["low"] == 0.4902
+
+
+def tokens_of(word, suffixes):
+    def strip(w):
+        return [w[: -len(s)] for s in sorted(suffixes, key=len, reverse=True) if len(w) > len(s) + 1 and w.endswith(s)]
+
+    return list(dict.fromkeys(x for w in strip(word) for x in (w, *strip(w))))
+
+
+def test_indic_normal_form_without_python(spark):
+    import unicodedata
+
+    from wordloom.functions.normalize import nfc_indic
+
+    rng = random.Random(2)
+    block = [chr(c) for c in range(0x900, 0xB80) if unicodedata.category(chr(c)) != "Cn"]
+    odd = [c for c in block if unicodedata.normalize("NFD", c) != c or unicodedata.combining(c)] + list("কখকেোাে")
+    texts = [*block, *("".join(rng.choice(odd if rng.random() < 0.7 else block) for _ in range(rng.randint(2, 4))) for _ in range(3000))]
+    # Stress marks, which words don't hold, have classes of their own.
+    texts = [t for t in texts if not any(unicodedata.combining(c) not in (0, 7, 9) for c in t)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nfc_indic(F.col("t")).alias("n")).collect()
+    assert [r["t"] for r in rows if unicodedata.normalize("NFC", r["t"]) != r["n"]] == []
+
+
 def test_windows_on_a_batch(spark):
     events = spark.createDataFrame([(k, u, t, v) for k, (u, t, v) in enumerate([(1, "2024-01-01 00:05:00", 1.0), (1, "2024-01-01 00:20:00", 2.0), (1, "2024-01-01 02:00:00", 3.0)])], "event_id int, user_id int, ts string, value double").withColumn("ts", F.to_timestamp("ts")).withColumn("event_type", F.lit("x"))
     assert [n for _, n in rows_of(windows.tumbling(events), "start", "n")] == [2, 1]

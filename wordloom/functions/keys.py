@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wordloom.functions.normalize import is_indic, nfc, to_devanagari
+from wordloom.functions.normalize import is_indic, nfc_indic, to_devanagari
 
 MIN_KEY = 3
 NUKTA = "\u093c"
@@ -63,7 +63,7 @@ def loose_roman(word: Column) -> Column:
 def loose_indic(word: Column) -> Column:
     """Loose key of a word in an Indic script: the inherent a is written out, then letters are merged."""
     letters, signs = "".join(CONSONANTS.values()), "".join(SIGNS.values())
-    text = F.translate(to_devanagari(nfc(word)), CANDRABINDU, ANUSVARA)
+    text = F.translate(to_devanagari(nfc_indic(word)), CANDRABINDU, ANUSVARA)
     # A sign counts only behind a consonant.
     text = F.regexp_replace(text, f"(?<![{letters}])[{signs}{VIRAMA}]", "")
     text = F.regexp_replace(text, f"([{letters}])(?![{signs}{VIRAMA}])", "$1a")
@@ -89,7 +89,7 @@ def skeleton_roman(word: Column) -> Column:
 
 def skeleton_indic(word: Column) -> Column:
     """Consonants only of a word in an Indic script."""
-    text = to_devanagari(nfc(word))
+    text = to_devanagari(nfc_indic(word))
     text = F.regexp_replace(F.regexp_replace(text, "[ंँ]", "n"), "[ऋॠृॄ]", "r")
     for roman, block in CONSONANTS.items():
         text = F.regexp_replace(text, f"[{block}]", roman)

@@ -39,6 +39,27 @@ def nfc(text: Column) -> Column:
     return drop(_normal_form("NFC")(text), JOINERS)
 
 
+def _compositions() -> tuple[list[tuple[str, str]], str, str]:
+    """What NFC changes in the Devanagari, Bengali and Odia blocks by the Unicode tables: replacements, nuktas, viramas."""
+    block = [chr(c) for c in range(0x900, 0xB80)]
+    apart = [(c, unicodedata.normalize("NFC", c)) for c in block if unicodedata.normalize("NFC", c) != c]
+    joined = [(unicodedata.normalize("NFD", c), c) for c in block if unicodedata.normalize("NFC", c) == c and len(unicodedata.normalize("NFD", c)) > 1]
+    classes = {k: "".join(c for c in block if unicodedata.combining(c) == k) for k in (7, 9)}
+    return [*apart, *joined], classes[7], classes[9]
+
+
+def nfc_indic(text: Column) -> Column:
+    """``nfc`` for text in the three scripts, as expressions: letters with a nukta apart, two-part vowels as one, a nukta before a virama."""
+    replacements, nuktas, viramas = _compositions()
+    apart = [r for r in replacements if len(r[0]) == 1]
+    for old, new in apart:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.regexp_replace(text, f"([{viramas}]+)([{nuktas}]+)", "$2$1")
+    for old, new in replacements[len(apart) :]:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return drop(text, JOINERS)
+
+
 def nfd(text: Column) -> Column:
     """Canonical decomposition."""
     return _normal_form("NFD")(text)

@@ -229,23 +229,33 @@ def align_titles(entries: DataFrame, chapters: DataFrame, by: str, bonus: float
     return entries.groupBy(by).cogroup(chapters.groupBy(by)).applyInPandas(section, f"{by} {kinds[by]}, number {kinds['number']}, title string")
 
 
-def place_blocks(fits: DataFrame, by: str, reach: int = 3, join_cost: float = 0.05, least_gain: float = 0.4) -> DataFrame:
+def place_blocks(fits: DataFrame, by: str, reach: int = 3, join_cost: float = 0.05, least_gain: float = 0.4, region: DataFrame | None = None) -> DataFrame:
     """(by, block, slot): blocks of text put on the slots they fit best, in order.
 
     ``fits``: (by, block, current, slot, fit).  A block stays within ``reach``
     of its slot, never before the block ahead of it, and pays ``join_cost`` to
     share its slot.  A group is changed only if the sum of fits grows by
-    ``least_gain`` or more.
+    ``least_gain`` or more.  With ``region`` (by, slot), as grown around
+    flagged rows by ``sequence.grow_regions``, blocks move from and to its
+    slots only; all others stay.  A group is a chapter: its blocks times slots
+    are held by one task.
     """
+    free = region is None
+    if region is not None:
+        inside = region.select(by, F.col("slot").alias("_inside")).distinct()
+        fits = fits.join(inside, (fits[by] == inside[by]) & (fits["slot"] == inside["_inside"]), "left").select(fits["*"], F.col("_inside").isNotNull().alias("_to"))
+        fits = fits.join(inside, (fits[by] == inside[by]) & (fits["current"] == inside["_inside"]), "left").select(*(fits[c] for c in fits.columns), F.col("_inside").isNotNull().alias("_from"))
+        fits = fits.withColumn("_stays", ~(F.col("_to") & F.col("_from"))).drop("_to", "_from")
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
+        bound = {(b, s) for b, s, x in zip(rows["block"], rows["slot"], rows["_stays"], strict=True) if x} if "_stays" in rows else set()
         current = dict(zip(rows["block"], rows["current"], strict=True))
         fit = {(b, s): f for b, s, f in zip(rows["block"], rows["slot"], rows["fit"], strict=True)}
         blocks, slots = sorted(current), sorted(set(rows["slot"]))
         never = float("-inf")
 
         def gain(b, s) -> float:
-            return fit.get((b, s), 0.0) if abs(s - current[b]) <= reach else never
+            return fit.get((b, s), 0.0) if s == current[b] or (abs(s - current[b]) <= reach and (b, s) not in bound and (free or (b, s) in fit)) else never
 
         total = [gain(blocks[0], s) for s in slots]
         back: list[list[int]] = []

@@ -23,39 +23,52 @@ def pieces(pages: DataFrame, by: list[str], order: str, paragraphs: str = "parag
 
 
 def assemble_units(pages: DataFrame, by: list[str], order: str, paragraphs: str = "paragraphs") -> DataFrame:
-    """(by, unit, a, b, text, pages, closed): text from one marker to the next, glued over paragraphs and pages.
+    """(by, unit, a, b, text, pages, closed, flags): text from one marker to the next, glued over paragraphs and pages.
 
     A unit's number is the count of markers before it, so no state is kept; a
-    tail that no marker closes is a unit with ``closed`` false.
+    tail that no marker closes is a unit with ``closed`` false.  ``flags`` are
+    those of ``unit_flags``, ``continued`` for a unit of more than one page,
+    and, where pages have an array column ``flags``, the flags of its pages.
     """
     rows = pieces(pages, by, order, paragraphs)
     before = Window.partitionBy(*by).orderBy(order, "para", "piece").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("unit", F.coalesce(F.sum(F.col("a").isNotNull().cast("long")).over(before), F.lit(0)))
     held = F.array_sort(F.collect_list(F.struct(order, "para", "piece", "text")))
-    return rows.groupBy(*by, "unit").agg(
+    units = rows.groupBy(*by, "unit").agg(
         F.max("a").alias("a"),
         F.max("b").alias("b"),
         F.array_join(F.filter(F.transform(held, lambda p: p["text"]), lambda t: t != ""), " ").alias("text"),
         F.array_sort(F.collect_set(order)).alias("pages"),
         F.max(F.col("a").isNotNull()).alias("closed"),
     )
+    own = F.concat(unit_flags(F.col("text"), F.col("closed")), F.when(F.size("pages") > 1, F.array(F.lit("continued"))).otherwise(F.array().cast("array<string>")))
+    if "flags" not in pages.columns:
+        return units.withColumn("flags", own)
+    theirs = units.select(*by, "unit", F.explode("pages").alias(order)).join(pages.select(*by, order, "flags"), [*by, order])
+    theirs = theirs.groupBy(*by, "unit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("flags", F.array().cast("array<string>")))))).alias("_pages_flags"))
+    return units.join(theirs, [*by, "unit"]).withColumn("flags", F.array_distinct(F.concat(own, "_pages_flags"))).drop("_pages_flags")
 
 
 def chapter_breaks(units: DataFrame, by: list[str], order: str, after_mismatches: int = 2) -> DataFrame:
     """Adds ``chapter``: a new one where a heading says so, numbers start again at 1, a colophon stands before, or the running head differs twice in a row.
 
     units: (by, order, a, heading int, colophon boolean, running_head int);
-    any of the last three may be null.  Each decision depends on the chapter so
-    far, so a volume is walked in order.
+    any of the last three may be null.  A boolean column ``strict``, where
+    there is one, marks rows in whose range chapters begin at headings only.
+    Each decision depends on the chapter so far, so a volume (some thousand
+    units) is walked in order by one task.
     """
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, ignore_index=True)
         chapter, last, closed, off, out = 1, 0, False, 0, []
-        for a, heading, colophon, head in zip(rows["a"], rows["heading"], rows["colophon"], rows["running_head"], strict=True):
+        strict = rows["strict"].fillna(False).astype(bool) if "strict" in rows else [False] * len(rows)
+        for a, heading, colophon, head, bound in zip(rows["a"], rows["heading"], rows["colophon"], rows["running_head"], strict, strict=True):
             off = off + 1 if pd.notna(head) and head != chapter else 0
             if pd.notna(heading) and heading != chapter:
                 chapter, last, off = int(heading), 0, 0
+            elif bound:
+                pass
             elif closed or (pd.notna(a) and a == 1 and last > 1):
                 chapter, last, off = chapter + 1, 0, 0
             elif off >= after_mismatches:
@@ -78,6 +91,14 @@ def apply_forced_starts(pages: DataFrame, starts: DataFrame, skips: DataFrame, b
     return floor_join(pages.join(ranges, [*by, order], "left_anti"), starts, by, order, "page", ["section", "chapter"])
 
 
+def mark_strict(units: DataFrame, ranges: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Adds ``strict``: whether a row lies in one of the ranges (by, first, last) whose chapter starts are all known."""
+    from wordloom.operators.intervals import point_lookup
+
+    held = point_lookup(units, ranges.withColumn("_in", F.lit(True)), by, order, "first", "last", ["_in"])
+    return held.withColumn("strict", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
 def unit_flags(text: Column, closed: Column, short: int = 12) -> Column:
     """Codes: uncertain marks, stray symbols, no end marker, short."""
     codes = (("uncertain", text.contains("[?]")), ("stray_symbols", text.rlike("[<>{}#@~^\\\\]")), ("no_end_marker", ~closed), ("short", F.char_length(text) < short))

@@ -139,9 +139,15 @@ def rescore(candidates: DataFrame, keys: list[str], penalty: float = 4.0) -> Dat
     return candidates.groupBy(*keys).agg(F.max_by("text", F.struct((F.col("loglik") - penalty * F.col("unknown")).alias("score"), "text")).alias("text"))
 
 
-def fix_misreads(words: DataFrame, substitutions: DataFrame, freq: DataFrame, ratio: int = 10) -> DataFrame:
-    """(word, fixed): unknown words turned into a known one by one attested substitution (old, new) that makes it ``ratio`` times commoner."""
-    unknown = words.select("word").distinct().join(freq.select("word"), "word", "left_anti")
-    tried = unknown.join(F.broadcast(substitutions), F.expr("contains(word, old)")).select("word", F.expr("replace(word, old, new)").alias("fixed"))
-    known = tried.join(freq.where(F.col("freq") >= ratio).select(F.col("word").alias("fixed"), "freq"), "fixed")
-    return known.groupBy("word").agg(F.min_by("fixed", F.struct(-F.col("freq"), "fixed")).alias("fixed"))
+def fix_misreads(freq: DataFrame, substitutions: DataFrame, rare: int = 3, least: int = 3, factor: int = 3) -> DataFrame:
+    """(word, fixed): rare words turned into an attested one by the first substitution that does it.
+
+    ``freq``: (word, freq); ``substitutions``: (place, old, new), a fixed list,
+    tried by place.  A word seen ``rare`` times at most becomes what replacing
+    all of ``old`` gives, if that is seen ``least`` times or more and more than
+    ``factor`` times as often as the word.
+    """
+    tried = freq.where(F.col("freq") <= rare).join(F.broadcast(substitutions), F.expr("contains(word, old)"))
+    tried = tried.select("word", "freq", "place", F.expr("replace(word, old, new)").alias("fixed"))
+    known = tried.join(freq.select(F.col("word").alias("fixed"), F.col("freq").alias("seen")), "fixed").where((F.col("seen") >= least) & (F.col("seen") > factor * F.col("freq")))
+    return known.groupBy("word").agg(F.min_by("fixed", "place").alias("fixed"))

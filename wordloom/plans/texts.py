@@ -9,6 +9,7 @@ from wordloom.functions import scripts
 from wordloom.functions.normalize import digits_to, script_of, to_devanagari
 from wordloom.functions.tokens import query_terms, words
 from wordloom.operators import reading
+from wordloom.operators.support import best_support
 from wordloom.plans.registry import query, table
 
 #: Words in three scripts and how they are spelled in others.
@@ -250,7 +251,6 @@ def dominant_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_words_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the words of each benchmark passage are borne out, nearly or exactly, by the turns that share three of its words."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(query_terms(F.lower("text"))).alias("mine"))
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(query_terms(F.lower("text"))).alias("pool"))
-    pairs = items.select("item_id", F.explode("mine").alias("w")).join(turns.select("conv_id", "turn", F.explode("pool").alias("w")), "w").groupBy("item_id", "conv_id", "turn").count().where("count >= 3")
-    best = pairs.join(items, "item_id").join(turns, ["conv_id", "turn"]).select("item_id", reading.support("mine", "pool").alias("s"))
-    return best.groupBy("item_id").agg(F.round(F.max("s"), 6).alias("support"))
+    turns = table(spark, sf_dir, "conversations").select(F.array_distinct(query_terms(F.lower("text"))).alias("pool"))
+    best = best_support(items, turns, "item_id", "mine", "pool", least=3)
+    return best.select("item_id", F.round("support", 6).alias("support"))
