@@ -10,6 +10,8 @@ import pytest
 from wordloom.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
+#: Queries that SQL can't express, and the test that holds each against a plain version.
+PLAIN = {"near_dups": "test_near_copies", "dominant_fixes": "test_readers_tools", "query_words_supported": "test_support_is_that_of_all_pairs"}
 
 
 def cell(x):
@@ -31,6 +33,7 @@ def test_query(spark, sf_dir, duck, name):
     columns = sorted(df.columns)
     got = sorted((tuple(map(cell, r)) for r in df.select(*(f"`{c}`" for c in columns)).collect()), key=str)
     if name not in SQL:
+        assert name in PLAIN and got
         return
     answer = duck.execute(SQL[name])
     names = [d[0] for d in answer.description]

@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    for name in ("aggregates", "joins", "quality", "search", "sequences", "texts"):
+    for name in ("aggregates", "indic", "joins", "library", "quality", "search", "sequences", "texts"):
         importlib.import_module(f"wordloom.plans.{name}")
 
 

@@ -99,12 +99,6 @@ def search_group_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.with_fallback(expanded, held.search(expanded), held.groups).select("query", "level", "unit")
 
 
-@query("alias_expand", f"WITH {_QUERY_SQL}, {_GROUP_SQL}, {_EXPANDED_SQL} SELECT query, CAST(position AS INTEGER) AS position, key FROM e")
-def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that each query word stands for."""
-    return index.expand(query_keys(spark), group_keys(spark))
-
-
 @query("group_problems", f"{KEYED_SQL}, {_POST_SQL}, {_GROUP_SQL}, d AS (SELECT DISTINCT key FROM p) SELECT grp AS \"group\", sum(CASE WHEN d.key IS NULL THEN 1 ELSE 0 END)::BIGINT AS absent, count(d.key) AS present FROM g LEFT JOIN d ON g.key = d.key GROUP BY grp HAVING sum(CASE WHEN d.key IS NULL THEN 1 ELSE 0 END) > 0 OR count(d.key) < 2")
 def group_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alias groups with a form that the texts don't hold."""

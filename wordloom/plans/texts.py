@@ -6,20 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import scripts
-from wordloom.functions.normalize import digits_to, script_of, to_devanagari
+
 from wordloom.functions.tokens import query_terms, words
 from wordloom.operators import reading
 from wordloom.operators.support import best_support
 from wordloom.plans.registry import query, table
 
-#: Words in three scripts and how they are spelled in others.
-SPELLINGS = (
-    ("कृष्ण", "kṛṣṇa"), ("रामायणम्", "rāmāyaṇam"), ("श्रीशुक उवाच", "śrīśuka uvāca"), ("ज्ञानं", "jñānaṃ"), ("दुःखम् ।", "duḥkham |"), ("ॐ नमः ॥ १२ ॥", "oṃ namaḥ || 12 ||"),
-    ("ऐश्वर्य", "aiśvarya"), ("सोऽपि", "so'pi"), ("गौरी", "gaurī"), ("ऋषि", "ṛṣi"), ("पढ़ना", "paḍhanā"), ("plain", "plain"),
-)
-READINGS = (("বন", "बन|वन"), ("কথা", "कथा"), ("হঠাৎ", "हठात्"), ("বববব", ""), ("বিবাহ", "बिबाह|विवाह"))
-SPEAKERS = (("मैत्रेय उवाच", "मैत्रेय"), ("राजोवाच", "राजा"), ("देवक्युवाच", "देवकी"), ("बलिरुवाच", "बलि"), ("श्रीभगवानुवाच", "श्रीभगवान्"), ("ऋषय ऊचुः", "ऋषय"), ("ऋषय ऊचु:", "ऋषय"), ("अथ कथा", None))
-INDIC = ("কৃষ্ণ", "ସୀତା", "राम", "১২৩", "୧୨ ॥", "abc", "বন ରାମ वन")
 FIND = ("the", "und", "que", "lès")
 
 
@@ -35,37 +27,6 @@ def _block(start: int) -> str:
     return "".join(map(chr, range(start, start + 0x80)))
 
 
-@query("iast_spelling", f"SELECT word, iast FROM {_values(SPELLINGS, 'word', 'iast')}")
-def iast_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Devanagari in scholarly Roman letters."""
-    return spark.createDataFrame([(w,) for w, _ in SPELLINGS], "word string").withColumn("iast", scripts.to_iast(F.col("word")))
-
-
-@query("bengali_readings", f"SELECT word, readings FROM {_values(READINGS, 'word', 'readings')}")
-def bengali_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Devanagari readings of Bengali words."""
-    return spark.createDataFrame([(w,) for w, _ in READINGS], "word string").withColumn("readings", F.array_join(scripts.bengali_readings(F.col("word")), "|"))
-
-
-@query("speaker_stems", f"SELECT line, stem FROM {_values(SPEAKERS, 'line', 'stem')}")
-def speaker_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in Sanskrit speaker lines."""
-    return spark.createDataFrame([(w,) for w, _ in SPEAKERS], "line string").withColumn("stem", scripts.speaker_stem(F.col("line")))
-
-
-@query(
-    "script_shifts",
-    f"""SELECT word, translate(translate(word, '{_block(0x980)}', '{_block(0x900)}'), '{_block(0xB00)}', '{_block(0x900)}') AS deva,
-    translate(translate(translate(word, '০১২৩৪৫৬৭৮৯', '0123456789'), '୦୧୨୩୪୫୬୭୮୯', '0123456789'), '०१२३४५६७८९', '0123456789') AS ascii,
-    CASE WHEN regexp_matches(word, '[ऀ-ॿ]') THEN 'deva' WHEN regexp_matches(word, '[ঀ-৿]') THEN 'bn' WHEN regexp_matches(word, '[଀-୿]') THEN 'or' ELSE 'roman' END AS script
-    FROM {_values([(w,) for w in INDIC], 'word')}""",
-)
-def script_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters of three scripts at the same place of one block, digits as ASCII, and the script."""
-    rows, word = spark.createDataFrame([(w,) for w in INDIC], "word string"), F.col("word")
-    return rows.select("word", to_devanagari(word).alias("deva"), digits_to(word).alias("ascii"), script_of(word).alias("script"))
-
-
 @query("whole_words", " UNION ALL ".join(f"SELECT doc_id, '{w}' AS word FROM documents WHERE regexp_matches(text, '(^|[^\\p{{L}}\\p{{M}}]){w}([^\\p{{L}}\\p{{M}}]|$)', 'i')" for w in FIND))
 def whole_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a word that no letter or mark touches."""
@@ -225,18 +186,6 @@ def merged_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(reading.merge_lists([F.slice(w, 1, 3), last]), "|").alias("merged"))
 
 
-ENTRIES = (("norm", "वन", 1), ("form", "वनों", 1), ("norm", "ग्रंथ", 2), ("norm", "फल", 3), ("skey", "राम", 4), ("book", "गोविन्दो", 5), ("norm", "river", 6), ("norm", "চাঁদ", 7), ("norm", "walk", 8), ("form", "walked", 9))
-LOOKED_UP = (("वन।", "hi"), ("वनों", "hi"), ("ग्रँथ", "hi"), ("फ़ल", "hi"), ("রাম", "bn"), ("गोविन्दो", "sa"), ("Rivers", "en"), ("চাংদ", "bn"), ("walkeds", "en"), ("absent", "en"))
-FOUND = (("वन।", "exact", 1), ("वनों", "form", 1), ("ग्रँथ", "nasal", 2), ("फ़ल", "no nukta", 3), ("রাম", "cross-script", 4), ("गोविन्दो", "book", 5), ("Rivers", "stem", 6), ("চাংদ", "nasal", 7), ("walkeds", "stem", 9))
-
-
-@query("full_cascade", f"SELECT word, step, entry_id::INTEGER AS entry_id FROM {_values(FOUND, 'word', 'step', 'entry_id')}")
-def full_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of several scripts looked up in all seven steps."""
-    entries = spark.createDataFrame(list(ENTRIES), "kind string, form string, entry_id int")
-    return reading.full_cascade(spark.createDataFrame(list(LOOKED_UP), "word string, lang string"), entries, ["s", "ed", "ing"])
-
-
 @query("dominant_fixes")
 def dominant_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of conversations that documents lack, with a clearly commoner word one edit away."""
