@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse, which must not be a local path on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wordloom"
+        local = folder.startswith("file:") or "://" not in folder
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a local folder that executors don't share")
     return folder.rstrip("/")
 
 
