@@ -207,3 +207,24 @@ def test_near_copies_against_all_pairs(spark):
     # Pairs between the first members of their classes, and each further member with its first.
     assert pairs == {(g, i, j) for g, i, j in want if (first[heads[i]] == i and first[heads[j]] == j) or (heads[i] == heads[j] and first[heads[i]] == i)}
     assert len(want) > 40 and {(r["a"], r["b"]): r["ratio"] for r in found}[60, 62] == 1.0
+
+
+def test_spans_of_a_voice(spark):
+    hindi = "श्रीसूतजी कहते हैं - एक वाक्य। " + "शब्द, " * 40 + "अन्त।"
+    rows = spark.createDataFrame([(hindi, "hi"), ("Suta says: one. Two three four five.", "en"), ("रामः। ok", "sa"), (None, "hi"), ("", "en"), ("x: a - b", "hi")], "t string, lang string")
+    found = [r[0] for r in rows.select(tokens.spoken_spans("t", "lang")).collect()]
+    first = found[0]
+    assert [hindi[s["start"] : s["end"]] for s in first] == [s["text"] for s in first] and first[0]["text"] == "श्रीसूतजी कहते हैं -"
+    assert max(len(s["text"]) for s in first) <= tokens.OTHER_SPAN and [s["pause_ms"] for s in first][:2] == [tokens.PAUSES["intro"], tokens.PAUSES["sentence"]]
+    assert first[2]["pause_ms"] == tokens.PAUSES["clause"] and first[-1]["pause_ms"] == tokens.PAUSES["end"]
+    assert "".join(s["text"] for s in first).replace(" ", "") == hindi.replace(" ", "")
+    assert [(s["text"], s["pause_ms"]) for s in found[1]] == [("Suta says: one.", 900), ("Two three four five.", 1500)]
+    assert [s["text"] for s in found[2]] == ["रामः। ok"] and found[3] is None and found[4] == []
+    assert [s["text"] for s in found[5]] == ["x: a - b"]
+
+
+def test_speaker_lines(spark):
+    names = spark.createDataFrame([("मैत्रेय", False, "hi", "श्रीमैत्रेयजी"), ("ऋषय", True, "en", "The sages")], "stem string, plural boolean, lang string, name string")
+    given = [("मैत्रेय उवाच", "hi"), ("मैत्रेय उवाच", "en"), ("राजोवाच", "en"), ("ऋषय ऊचुः", "en"), ("ऋषय ऊचु:", "hi"), ("राजोवाच", "or"), ("अथ कथा", "en"), ("राजोवाच", "fr"), (None, "en")]
+    found = {(r["line"], r["lang"]): r["said"] for r in scripts.speaker_lines(spark.createDataFrame(given, "line string, lang string"), names).collect()}
+    assert found == {("मैत्रेय उवाच", "hi"): "श्रीमैत्रेयजी ने कहा", ("मैत्रेय उवाच", "en"): "Maitreya said", ("राजोवाच", "en"): "Raja said", ("ऋषय ऊचुः", "en"): "The sages said", ("ऋषय ऊचु:", "hi"): "ऋषय बोले", ("राजोवाच", "or"): "ରାଜା କହିଲେ", ("अथ कथा", "en"): "अथ कथा", ("राजोवाच", "fr"): "राजोवाच", (None, "en"): None}

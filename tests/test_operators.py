@@ -405,3 +405,15 @@ def test_windows_on_a_batch(spark):
     assert [n for _, n in rows_of(windows.tumbling(events), "start", "n")] == [2, 1]
     assert sum(n for _, n in rows_of(windows.sliding(events), "start", "n")) == 12
     assert [n for _, n in rows_of(windows.sessions(events), "start", "n")] == [2, 1]
+
+
+def test_rows_are_cleaned_as_they_are_read(spark):
+    title = "मोहिनी रूपसे देवोंकी रक्षा"
+    given = [
+        (1, 2, None, "other", "page 3 – 4", "fine"), (1, 1, " ", f"{title}\nसूत उवाच\nverse", f"{title} — so - it", "a[?] b[?] c[?] d"), (2, 1, "kept", "सूत उवाच\nverse", "none", None),
+        (3, 1, None, f"{title}\nverse", "x", ""),
+    ]
+    rows = spark.createDataFrame(given, "chapter int, num int, speaker string, sa string, hi string, `or` string")
+    titles = spark.createDataFrame([(1, title), (3, title)], "chapter int, title string")
+    found = reading.clean_rows(rows, titles, ["chapter"], "num", "sa", ["hi", "or"], "उवाच", garbled_in="or")
+    assert [tuple(r) for r in found.orderBy("chapter", "num").collect()] == [(1, 1, "सूत उवाच", "verse", "so — it", ""), (1, 2, None, "other", "page 3-4", "fine"), (2, 1, "kept", "सूत उवाच\nverse", "none", None), (3, 1, None, "verse", "x", "")]

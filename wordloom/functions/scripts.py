@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.keys import _MARKED, _PLAIN, loose_roman
-from wordloom.functions.normalize import digits_to, drop, shift_block
+from wordloom.functions.normalize import digits_to, drop, from_devanagari, plain_roman, shift_block
 from wordloom.functions.parse import snippet
 
 #: Devanagari letters and their scholarly Roman spelling.
@@ -68,6 +68,31 @@ def speaker_stem(line: Column) -> Column:
     return F.when(text.endswith("ऊचुः"), many).when(text.endswith("वाच"), one)
 
 
+#: Fixed values: "said" behind one name and behind several, by language.
+SAID = {"en": (" said", " said"), "hi": (" ने कहा", " बोले"), "bn": (" বললেন", " বললেন"), "or": (" କହିଲେ", " କହିଲେ")}
+
+
+def speaker_lines(lines: DataFrame, names: DataFrame, line: str = "line", lang: str = "lang") -> DataFrame:
+    """Adds ``said``: a Sanskrit speaker line ("X said") as it is put in each row's language.
+
+    ``names``: (stem, plural, lang, name), how well-known speakers are called;
+    others keep their stem, in the script of the language, in English as a
+    plain Roman name.  Other lines, and other languages, stay as printed.
+    """
+    plural = F.rtrim(line).rlike("ऊच(?:ुः|ु:)$")
+    rows = lines.withColumns({"_stem": speaker_stem(F.col(line)), "_plural": plural})
+    known = names.select(F.col("stem").alias("_stem"), F.col("plural").alias("_plural"), F.col("lang").alias(lang), F.col("name").alias("_name"))
+    rows = rows.join(known, ["_stem", "_plural", lang], "left")
+    roman = plain_roman(to_iast(F.col("_stem")))
+    roman = F.concat(F.upper(F.substr(roman, F.lit(1), F.lit(1))), F.substr(roman, F.lit(2), F.char_length(roman)))
+    own = F.when(F.col(lang) == "en", roman).when(F.col(lang) == "bn", from_devanagari(F.col("_stem"), "bn")).when(F.col(lang) == "or", from_devanagari(F.col("_stem"), "or")).otherwise(F.col("_stem"))
+    verb = F.lit(None).cast("string")
+    for name, (one, many) in SAID.items():
+        verb = F.when(F.col(lang) == name, F.when(F.col("_plural"), many).otherwise(one)).otherwise(verb)
+    said = F.when(F.col("_stem").isNotNull() & verb.isNotNull(), F.concat(F.coalesce("_name", own), verb)).otherwise(F.col(line))
+    return rows.withColumn("said", said).select(*lines.columns, "said")
+
+
 def speakable(text: Column) -> Column:
     """English as a voice should read it: abbreviations in full, brackets as pauses, marked letters as they sound."""
     text = F.regexp_replace(drop(text, "‌‍“”\"*†"), "\\s*[()\\[\\]]\\s*", ", ")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ WORD = {
 QUERY_TERM = "[^\\s\"“”'‘’.,;:!?()]+"
 #: Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = ("viz", "i.e", "e.g", "etc", "vs", "cf", "no", "st", "mr", "mrs", "dr", "lit", "approx")
+#: What is stripped from the ends of a token.
 PUNCTUATION = ".,;:!?\"'‘’“”()[]{}।॥-—–"
 
 
@@ -98,6 +101,7 @@ def sanskrit_variants(word: Column) -> Column:
 def hygiene(token: Column) -> Column:
     """Codes of what cannot be right in an Odia word."""
     w = F.translate(core(token), "।॥", "")
+    # The codes and what each is.
     sign, virama = "[ା-ୌୖୗୢୣ]", "୍"
     odia = w.rlike("[଀-୿]")
     codes = (
@@ -129,43 +133,78 @@ def broken(word: Column) -> Column:
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
-def sentence_spans(text: str, longest: int = 380, tiny: int = 10, part: int = 20) -> list[tuple[int, int]]:
-    """(start, end) of each sentence of a text."""
-    import re
+#: Longest span of a voice in English and in other languages; pauses in milliseconds behind a lead-in, a clause, a sentence and the last sentence.
+LONGEST_SPAN = {"en": 380}
+OTHER_SPAN = 150
+PAUSES = {"intro": 700, "clause": 450, "sentence": 900, "end": 1500}
+#: What a lead-in says, by language; others are read as Hindi.
+SAYING = {
+    "hi": ("कहते हैं", "कहती हैं", "ने कहा", "कहा", "बोले", "बोलीं", "बोली", "पूछा", "पूछते हैं", "उवाच"),
+    "bn": ("বললেন", "বলেন", "বলছেন", "জিজ্ঞাসা", "প্রশ্ন", "উত্তর", "বলিলেন"),
+}
+
+
+def lead_in(text: str, lang: str) -> int:
+    """Where a spoken line's lead-in ends ("X said -"): 0 without one, and in English, which keeps it with its sentence."""
+    found = None if lang == "en" else re.match("([^:.!?।॥]{0,79}?)(?::|(?<=[ \u00a0])[-–—](?= ))(?=.)", text, re.DOTALL)
+    return found.end() if found and any(w in found[1].lower() for w in SAYING.get(lang, SAYING["hi"])) else 0
+
 
-    cuts, at = [], 0
-    for m in re.finditer("[.!?।॥]+[\"'”’)\\]]*(?=\\s|$)", text):
+def _clauses(text: str, a: int, b: int, longest: int, part: int) -> list[tuple[int, int]]:
+    """A span cut near its middle, at a clause or else at a blank, until no piece is too long."""
+    inside = range(a + part, b - part)
+    for pattern in ("[,;:](?=\\s)|(?<=[ \u00a0])-(?= )", " "):
+        breaks = [a + m.end() for m in re.finditer(pattern, text[a:b]) if a + m.start() in inside]
+        if b - a > longest and breaks:
+            cut = min(breaks, key=lambda k: (abs(k - (a + b) // 2), k))
+            left, right = text[a:cut], text[cut:b]
+            return _clauses(text, a, a + len(left.rstrip()), longest, part) + _clauses(text, b - len(right.lstrip()), b, longest, part)
+    return [(a, b)]
+
+
+def voice_spans(text: str, lang: str = "en", tiny: int = 10, part: int = 35) -> list[tuple[int, int, int]]:
+    """(start, end, pause behind it) of what a voice says at once: lead-in, sentences, and clauses of long ones."""
+    begin = lead_in(text, lang)
+    cuts, at = [], begin
+    for m in re.finditer("[.!?।॥…]+[\"'”’)\\]»]*(?=\\s|$)", text):
+        if m.start() < begin:
+            continue
         if text[m.start()] == ".":
             word = re.search("[^\\W\\d_.]?[\\w.]*$", text[: m.start()]).group()
             short = word.lower() in ABBREVIATIONS or (len(word) == 1 and word.isupper())
-            if short or re.match("\\s*[a-zß-öø-ÿ]", text[m.end() :]):
+            if short or (lang == "en" and re.match("\\s*[a-zß-öø-ÿ]", text[m.end() :])):
                 continue
         cuts.append((at, m.end()))
         at = m.end()
-    cuts.append((at, len(text)))
     spans: list[tuple[int, int]] = []
-    for a, b in cuts:
-        a += len(text[a:b]) - len(text[a:b].lstrip())
+    for a, b in [*cuts, (at, len(text))]:
         b = a + len(text[a:b].rstrip())
+        a += len(text[a:b]) - len(text[a:b].lstrip())
         if b <= a:
             continue
         if spans and b - a < tiny:
             spans[-1] = (spans[-1][0], b)
         else:
             spans.append((a, b))
-    out, todo = [], spans[::-1]
-    while todo:
-        a, b = todo.pop()
-        middle = (a + b) // 2
-        breaks = [m.end() - 1 for m in re.finditer("[,;:]\\s", text[a:b])] or [m.start() for m in re.finditer(" ", text[a:b])]
-        inner = [a + k for k in breaks if part <= k <= b - a - part]
-        if b - a <= longest or not inner:
-            out.append((a, b))
-            continue
-        cut = min(inner, key=lambda k: (abs(k - middle), k))
-        right = cut + len(text[cut:b]) - len(text[cut:b].lstrip())
-        todo += [(right, b), (a, cut)]
-    return out
+    out = [(len(text[:begin]) - len(text[:begin].lstrip()), len(text[:begin].rstrip()), PAUSES["intro"])] if begin else []
+    for a, b in spans:
+        pieces = _clauses(text, a, b, LONGEST_SPAN.get(lang, OTHER_SPAN), part)
+        out += [(x, y, PAUSES["clause"]) for x, y in pieces[:-1]] + [(*pieces[-1], PAUSES["sentence"])]
+    return out[:-1] + [(*out[-1][:2], PAUSES["end"])] if out else []
+
+
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence of an English text."""
+    return [(a, b) for a, b, _ in voice_spans(text)]
+
+
+_VOICE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pause_ms", T.IntegerType()), T.StructField("text", T.StringType())]))
+
+
+@F.pandas_udf(_VOICE)
+def spoken_spans(texts: pd.Series, langs: pd.Series) -> pd.Series:
+    """What a voice says at once, with its place and the pause behind it; null for a null text."""
+    return pd.Series([[{"start": a, "end": b, "pause_ms": p, "text": t[a:b]} for a, b, p in voice_spans(t, lang or "en")] if t is not None else None for t, lang in zip(texts, langs, strict=True)])
 
 
 @F.pandas_udf(_SPANS)

@@ -73,10 +73,12 @@ def merge_entries(entries: DataFrame, keys: list[str], priority: str, keep: int
 def prefix_search(entries: DataFrame, prefixes: DataFrame, limit: int = 20) -> DataFrame:
     """(prefix, headword, rank): headwords that start with a prefix, exact ones first, then by frequency.
 
-    Joins on the first character, so only words that can match meet.
+    A headword meets a prefix by its own first letters, as many as some prefix
+    has; nothing else is joined.
     """
-    words = entries.withColumn("head", F.substr(F.col("headword"), F.lit(1), F.lit(1)))
-    pairs = prefixes.withColumn("head", F.substr(F.col("prefix"), F.lit(1), F.lit(1))).join(words, "head").where(F.col("headword").startswith(F.col("prefix")))
+    lengths = [r[0] for r in prefixes.select(F.char_length("prefix")).distinct().collect()]  # as many as a prefix is long
+    heads = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length("headword")), lambda n: F.substr(F.col("headword"), F.lit(1), n))
+    pairs = prefixes.distinct().join(entries.withColumn("prefix", F.explode(heads)), "prefix")
     rank = F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc(F.col("headword") == F.col("prefix")), F.desc("freq"), "headword"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= limit).select("prefix", "headword", "rank")
 

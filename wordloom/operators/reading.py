@@ -12,13 +12,36 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from wordloom.functions.keys import loose_roman
-from wordloom.functions.normalize import fold_nasal, script_key, strip_nukta, word_norm
-from wordloom.functions.scripts import folded
+from wordloom.functions.normalize import fold_nasal, script_key, strip_nukta, tidy_dashes, word_norm
+from wordloom.functions.scripts import folded, strip_title
 from wordloom.functions.tokens import core, stems
+from wordloom.operators.quality import garbled
 from wordloom.operators.similarity import edit1_pairs
 from wordloom.sources.shared import materialise
 
 
+def clean_rows(rows: DataFrame, titles: DataFrame, by: list[str], number: str, source: str, translations: list[str], verb: str, speaker: str = "speaker", garbled_in: str | None = None) -> DataFrame:
+    """Rows of a chapter table as they are read: what the print left in their texts goes.
+
+    In the first row of a chapter a title (by, title) that ran into the source
+    or a translation is taken off; if the source then begins with a line that
+    holds ``verb``, that is the speaker, where the row has none.  Dashes are
+    written one way, blank speakers are null, and a text of ``garbled_in`` that
+    is mostly doubtful is empty.
+    """
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(number)) == 1
+    held = rows.join(titles.select(*by, F.col("title").alias("_title")), by, "left").withColumn("_first", first)
+    bare = {c: F.when(F.col("_first"), strip_title(F.col(c), F.coalesce("_title", F.lit("")))).otherwise(F.col(c)) for c in (source, *translations)}
+    head = F.regexp_extract(bare[source], "^([^\\n]*)\\n?", 1)
+    leaked = F.col("_first") & (bare[source] != F.col(source)) & F.contains(head, F.lit(verb))
+    own = F.nullif(F.btrim(speaker), F.lit(""))
+    out = {speaker: F.coalesce(own, F.when(leaked, F.btrim(head))), source: F.when(leaked, F.regexp_replace(bare[source], "^[^\\n]*\\n?", "")).otherwise(bare[source])}
+    out |= {c: tidy_dashes(bare[c]) for c in translations}
+    if garbled_in is not None:
+        out[garbled_in] = F.when(garbled(out[garbled_in]), F.lit("")).otherwise(out[garbled_in])
+    return held.withColumns(out).select(*rows.columns)
+
+
 def noted(notes: DataFrame, colour: Column | None, needle: Column, columns: list[str]) -> DataFrame:
     """Notes of a colour (any if None) with the needle in one of the columns, letter case aside; an empty needle is in all."""
     held = reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(c), F.lower(needle)), F.lit(False)) for c in columns))
