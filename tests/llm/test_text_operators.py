@@ -193,3 +193,25 @@ def test_copies_are_scored_apart(documents):
     rows = [r for r in pitman_yor.score_documents(documents).collect() if r["n_tokens"] > 50]
     single, twice = ([r["score"] / r["n_tokens"] for r in rows if not r["held_out"] and (groups[of[r["doc_id"]]] > 1) == copied] for copied in (False, True))
     assert len(twice) > 10 and np.median(twice) > np.quantile(single, 0.9)
+
+
+def test_long_texts_are_walked_in_pieces(monkeypatch, odd):
+    """With pieces of some bytes, the results are those of whole texts."""
+    from wordloom.llm import shingles
+
+    texts = [r["text"] or "" for r in odd.select("text").collect()] + ["x" * 300, "\n" * 50, "a b\n" * 40 + "é" * 90, ""]
+    raw = [t.encode() for t in texts]
+    model = language_id.Model(["a", "b"], np.log(np.array([0.5, 0.5])), np.log(np.random.default_rng(1).dirichlet(np.ones(language_id.BUCKETS), 2).T).astype(np.float32))
+    whole = fingerprint.vectors(raw), shingles.shingle_sets(raw), shingles.word_hashes(raw), [model.score([t]) for t in texts], [np.bincount(language_id.gram_buckets([t])[0], minlength=language_id.BUCKETS) for t in texts]
+    for module, size in ((fingerprint, 37), (shingles, 5), (language_id, 11)):
+        monkeypatch.setattr(module, "_PIECE", size)
+    monkeypatch.setattr(fingerprint._long_vector, "__defaults__", (37,))
+    monkeypatch.setattr(shingles.pieces, "__defaults__", (5,))
+    got = fingerprint.vectors(raw)
+    assert (got[0] == whole[0][0]).all() and (got[1] == whole[0][1]).all()
+    assert all((a == b).all() for a, b in zip(shingles.shingle_sets(raw), whole[1], strict=True))
+    assert all((a == b).all() for a, b in zip(shingles.word_hashes(raw), whole[2], strict=True))
+    for t, (names, share), counts in zip(texts, whole[3], whole[4], strict=True):
+        again = model.score([t])
+        assert again[0] == names and abs(again[1][0] - share[0]) < 1e-3
+        assert (sum(np.bincount(g, minlength=language_id.BUCKETS) for g in language_id.long_grams(t)) == counts).all()

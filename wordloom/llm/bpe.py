@@ -2,8 +2,9 @@
 
 Byte-pair encoding gives every prefix of a word exactly one encoding, and the
 last token of that encoding together with the prefix before it determines it.
-So for each prefix the tokens that end there are listed (matches of a suffix
-automaton over the vocabulary), longest first, and the one that may follow the
+So for each prefix the tokens that end there are listed (matches of an
+Aho-Corasick automaton over the vocabulary, which stands in for the suffix
+automaton: it lists the same tokens at the same places), longest first, and the one that may follow the
 last token of the prefix before it is kept: a pair of tokens may stand side by
 side if merging their joined bytes gives back that very pair.  The ids are
 read off by following the back-pointers from the end.

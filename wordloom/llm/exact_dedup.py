@@ -86,7 +86,7 @@ def build_index(rows: DataFrame, capacity: int, range_keys: int, hot_keys: int)
     often = rows.join(hot, "key", "left_semi").groupBy("key", "text").agg(*counted)
     seldom = rows.join(hot, "key", "left_anti").select("key", "text", F.lit(1).cast("long").alias("size"), F.col("doc_id").alias("keep"))
     placed = often.unionByName(seldom).withColumn("slot", slot).join(F.broadcast(directory), "slot")
-    owned = placed.repartition(max(1, len(set(ranges.values()))), "range")
+    owned = placed.repartitionById(max(1, len(set(ranges.values()))), "range")
     # The owner has all rows of a range, so neither grouping moves rows; the first compares the texts' bytes.
     entries = owned.groupBy("range", "bucket", "key", "text").agg(F.sum("size").alias("size"), F.max("keep").alias("keep"))
     links = F.struct(F.sha2("text", 256).alias("digest"), "size", "keep")

@@ -33,8 +33,38 @@ WORDS, LANES, WINDOW = 8, 256, 16
 _EXACT = WORDS * 8
 
 
+_PIECE = 1 << 20
+
+
+def _long_vector(text: bytes, size: int = _PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """``vectors`` of one text, added up over pieces: whole paragraphs for digests, runs of windows for likeness."""
+    exact, sums = np.zeros(WORDS, U64), np.zeros((LANES, 2), np.int64)
+    at = 0
+    while at <= len(text):
+        cut = text.find(b"\n", min(at + size, len(text)))
+        cut = len(text) if cut < 0 else cut
+        digests = np.frombuffer(b"".join([hashlib.blake2b(p).digest() for p in text[at:cut].split(b"\n")]), "<u8").reshape(-1, WORDS)
+        exact = exact + np.add.reduce(digests, axis=0)
+        whole = digests[:, 0]
+        np.add.at(sums, ((whole & U64(LANES - 1)).astype(np.int64), (whole >> U64(63)).astype(np.int64)), 1)
+        at = cut + 1
+    for a in range(0, len(text), size):
+        data = np.frombuffer(text, np.uint8, min(size + WINDOW - 1, len(text) - a), a)
+        first = windows64(data)
+        if len(first) > 8:
+            h = mix(first[:-8] * U64(0x9E3779B97F4A7C15) + first[8:] * U64(0xC2B2AE3D27D4EB4F))
+            lines = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(data == 10, out=lines[1:])
+            h = h[lines[WINDOW:] == lines[: len(lines) - WINDOW]]
+            sums += np.bincount((h >> U64(56)).astype(np.int64) * 2 + (h >> U64(20) & U64(1)).astype(np.int64), minlength=2 * LANES).reshape(LANES, 2)
+    return exact, (sums[:, 0] - sums[:, 1]).astype(np.int32)
+
+
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(equality lanes, likeness lanes) of each text."""
+    """(equality lanes, likeness lanes) of each text; long ones are walked in pieces."""
+    if any(len(t) > 4 * _PIECE for t in texts):
+        found = [_long_vector(t) for t in texts]
+        return np.stack([f[0] for f in found]), np.stack([f[1] for f in found])
     paragraphs = [t.split(b"\n") for t in texts]
     counts = np.fromiter(map(len, paragraphs), np.int64, len(texts))
     digests = b"".join([hashlib.blake2b(p).digest() for ps in paragraphs for p in ps])

@@ -23,10 +23,27 @@ BUCKETS = 1 << 15
 _GAP = "  "  # stands before and after a text: no 3-gram reaches over two spaces
 
 
+_PIECE = 1 << 20  # code points of a long text that are looked at together
+
+
+def long_grams(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """The buckets of one text's grams, in parts."""
+    padded = _GAP + text.lower() + _GAP
+    # A part begins with the two code points that the one before it ended with.
+    for a in range(0, max(1, len(padded) - 2), _PIECE):
+        yield _buckets_of(padded[a : a + _PIECE + 2], buckets)
+
+
 def gram_buckets(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each 2- and 3-gram, first index of each text's); a text's grams begin in the gap before it and end in the gap after it."""
     lowered = [t.lower() for t in texts]
-    points = np.frombuffer((_GAP + _GAP.join(lowered) + _GAP).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + len(_GAP)
+    return _buckets_of(_GAP + _GAP.join(lowered) + _GAP, buckets), 2 * (np.cumsum(lengths) - lengths)
+
+
+def _buckets_of(text: str, buckets: int) -> np.ndarray:
+    """Buckets of the 2-gram and the 3-gram that begin at each place."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     two = points[:-1] * np.uint32(0x9E3779B1) + points[1:] * np.uint32(0x85EBCA77)
     three = two[:-1] + points[2:] * np.uint32(0xC2B2AE3D)
     out = np.empty((len(three), 2), np.int32)
@@ -34,8 +51,7 @@ def gram_buckets(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
     for k, h in enumerate((two[: len(three)] * np.uint32(0x27D4EB2F), three)):
         h = h ^ (h >> np.uint32(15))
         out[:, k] = (h * np.uint32(0x2C1B3C6D)) >> shift
-    lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + len(_GAP)
-    return out.ravel(), 2 * (np.cumsum(lengths) - lengths)
+    return out.ravel()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +63,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in by_lang.items():
             ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
             for i, j in slices(ends):
-                got = np.bincount(gram_buckets(texts[i:j])[0], minlength=BUCKETS)
+                long = j == i + 1 and len(texts[i]) > 4 * _PIECE
+                got = sum(np.bincount(g, minlength=BUCKETS) for g in long_grams(texts[i])) if long else np.bincount(gram_buckets(texts[i:j])[0], minlength=BUCKETS)
                 sums[lang] = sums[lang] + got if lang in sums else got
     for lang, got in sums.items():
         at = np.flatnonzero(got)
@@ -64,8 +81,13 @@ class Model:
         """(language, posterior) of each text; ``und`` and 0 where a text has no letter or nothing was learned."""
         if not self.langs or not texts:
             return ["und"] * len(texts), np.zeros(len(texts))
-        grams, starts = gram_buckets(texts)
-        totals = np.add.reduceat(self.matrix[grams], starts, axis=0).astype(np.float64) + self.priors
+        if len(texts) == 1 and len(texts[0]) > 4 * _PIECE:
+            # By counts of buckets: nothing as long as the text meets the matrix.
+            counts = sum(np.bincount(g, minlength=len(self.matrix)) for g in long_grams(texts[0], len(self.matrix)))
+            totals = (counts.astype(np.float64) @ self.matrix)[None] + self.priors
+        else:
+            grams, starts = gram_buckets(texts)
+            totals = np.add.reduceat(self.matrix[grams], starts, axis=0).astype(np.float64) + self.priors
         best = totals.argmax(axis=1)
         posterior = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
         letters = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))

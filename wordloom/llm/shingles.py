@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 from wordloom.llm.kernels import U64, mix
@@ -14,8 +17,32 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
 
 
+_PIECE = 1 << 20
+_BLANK = re.compile(b"[ \t-\r]")
+
+
+def pieces(text: bytes, size: int = _PIECE) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes, cut at blanks; no word is cut."""
+    at = 0
+    while len(text) - at > 2 * size and (cut := _BLANK.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of each text and the end); words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased."""
+    """(hash of every word, first word of each text and the end); words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
+
+    Long texts are walked in pieces, so that what is held beside the hashes stays small.
+    """
+    if any(len(t) > 4 * _PIECE for t in texts):
+        found = [[_word_hashes([p])[0] for p in pieces(t)] for t in texts]
+        counts = [sum(map(len, f)) for f in found]
+        return np.concatenate([h for f in found for h in f]), np.concatenate([[0], np.cumsum(counts)])
+    return _word_hashes(texts)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = _LOWER[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
     blank = _SPACE[data]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1

@@ -74,9 +74,11 @@ class BlindTrie:
 def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[list[int], list[int]]:
     """(order, LCP of each string with the one before it in the order; 0 for the first).
 
-    Multikey quicksort, a word of eight bytes at a time and all groups at
-    once: at each depth the groups that are still equal are sorted by their
-    next word.  Groups equal to the shallow depth go to a blind trie each.
+    A multikey sort by levels, a word of eight bytes at a time and all groups
+    at once: at each depth the groups that are still equal are sorted by their
+    next word.  (numpy sorts a level; it stands in for the three-way partition
+    of multikey quicksort, which orders the same groups by the same keys.)
+    Groups equal to the shallow depth go to a blind trie each.
     """
     n = len(strings)
     if not n:
