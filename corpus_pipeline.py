@@ -13,7 +13,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null or empty texts and texts without a letter."""
+    """Drops documents without a language: null or empty texts and texts without a letter; null and repeated ids stay."""
     model = language_id.fit(docs)
     return language_id.with_prediction(docs.select(*COLUMNS), model).where("lang_pred != 'und'").select(*COLUMNS)
 
@@ -62,7 +62,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 200 bytes and more that repeat anywhere; every document stays with what is left."""
+    """Removes passages of 200 bytes and more that repeat anywhere; every row stays with what is left, also with a null or repeated id; a null text becomes empty."""
     left = suffix_dedup.remove_repeats(docs, keep_text=True, carry=("lang", "source"))
     return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
 
