@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions import normalize
 from wordloom.functions.normalize import plain_roman, title_cleanup
-from wordloom.functions.parse import marker_range, snippet
-from wordloom.functions.tokens import core, words, words_of_columns
-from wordloom.operators import assemble, consensus, intervals, lookup, quality, review, sequence
+from wordloom.functions.parse import marker_range, nearest_occurrence, snippet
+from wordloom.functions.tokens import broken, core, words, words_of_columns
+from wordloom.operators import assemble, consensus, intervals, lookup, quality, review, sampling, sequence
+from wordloom.operators.similarity import common_prefix_likeness
 from wordloom.plans.registry import query, table
 from wordloom.sources import pages, tables
 
@@ -284,3 +286,113 @@ def page_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = F.size(words(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", F.round(quality.risk(count("?"), count("!"), count("#"), n), 6).alias("risk"), review.minutes(n).alias("minutes"))
+
+
+@query(
+    "common_starts",
+    f"""WITH {_SAID}, p AS (SELECT conv_id, turn, place, lower(word) AS a, lower(lead(word) OVER (PARTITION BY conv_id, turn ORDER BY place)) AS b FROM s), n AS (SELECT *, least(length(a), length(b)) AS n FROM p WHERE b IS NOT NULL),
+    c AS (SELECT *, len(list_filter(range(1, n + 1), lambda i: left(a, i) = left(b, i))) AS same FROM n)
+    SELECT a, b, round(max(CASE WHEN n < 4 THEN CASE WHEN a = b THEN 1.0 ELSE 0.0 END WHEN same >= 4 THEN same / n ELSE 0.0 END), 6) AS likeness FROM c GROUP BY a, b""",
+)
+def common_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike the words are that stand side by side, by their common start."""
+    beside = sequence.neighbour(_said(spark, sf_dir), ["conv_id", "turn"], ["place"], "word", 1, "after").where("after IS NOT NULL")
+    pairs = beside.select(F.lower("word").alias("a"), F.lower("after").alias("b")).distinct()
+    return pairs.select("a", "b", F.round(common_prefix_likeness(F.col("a"), F.col("b")), 6).alias("likeness"))
+
+
+@query(
+    "contents_entries",
+    """WITH t AS (SELECT p_brand, p_partkey, p_partkey % 4 AS k, p_name, p_type, p_size FROM part), r AS (SELECT *, sum((k = 0)::INT) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS entry FROM t WHERE k <> 3)
+    SELECT p_brand, entry::BIGINT AS entry, max(CASE WHEN k = 0 THEN p_partkey END)::INTEGER AS number, string_agg(CASE WHEN k = 0 THEN p_name ELSE p_type END, ' ' ORDER BY p_partkey) AS title FROM r WHERE entry > 0 GROUP BY p_brand, entry""",
+)
+def contents_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents lines made of parts: numbered ones begin an entry, others go on with it, page heads go."""
+    k, number = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    line = F.when(k == 0, F.concat(number, F.lit(". "), F.col("p_name"), F.lit(" ..... "), F.col("p_size").cast("string"))).when(k == 3, F.lit(" Contents ")).otherwise(F.col("p_type"))
+    return assemble.fold_entry_lines(table(spark, sf_dir, "part").select("p_brand", "p_partkey", line.alias("text")), ["p_brand"], "p_partkey")
+
+
+@query(
+    "candidate_pages",
+    """WITH m AS (SELECT conv_id, max(turn) FILTER (turn % 3 = 0) AS last FROM conversations GROUP BY conv_id), x AS (SELECT c.conv_id, turn, 2 * (turn - turn % 3) AS low, 2 * (turn - turn % 3 + 3) AS high FROM conversations c JOIN m ON c.conv_id = m.conv_id WHERE turn % 3 <> 0 AND turn < last)
+    SELECT conv_id AS vol, turn AS num, unnest(range(low, high + 1)) AS page FROM x""",
+)
+def candidate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages where a missing unit may be: from that of the last known one before it to that of the first one after it."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("vol"), F.col("turn").alias("num"))
+    known = turns.where("num % 3 = 0").withColumn("page", 2 * F.col("num"))
+    return intervals.candidate_places(turns.where("num % 3 != 0"), known, ["vol"])
+
+
+@query("checked_answers", "SELECT p_partkey::INTEGER AS id, CASE p_size % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'z' ELSE NULL END AS choice, CASE WHEN p_size % 4 = 2 THEN p_name END AS text, 'high' AS confidence FROM part WHERE p_partkey % 5 <> 0 AND (p_size % 4 = 0 OR p_size % 4 = 2)")
+def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about parts that name a known part and one of its options, or have a text of their own."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_size") % 4
+    answer = F.struct(F.col("p_partkey").cast("int").alias("id"), F.when(k == 0, "a").when(k == 1, "z").alias("choice"), F.when(k == 2, F.col("p_name")).alias("text"), F.lit("high").alias("confidence"))
+    replies = part.select(F.concat(F.lit("```json\n"), F.to_json(F.array(answer)), F.lit("\n```")).alias("reply"))
+    options = part.where("p_partkey % 5 != 0").select(F.col("p_partkey").cast("int").alias("id"), F.array(F.lit("a"), F.lit("b")).alias("options"))
+    return pages.check_answers(replies, options)
+
+
+@query("joined_lists", "SELECT p_partkey, word FROM (SELECT p_partkey, trim(unnest(string_split(replace(p_name, ' ', ' | | '), '|'))) AS word FROM part) WHERE word <> ''")
+def joined_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of lists that are joined by bars, empty ones left out."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(tables.split_list(F.replace("p_name", F.lit(" "), F.lit(" | | ")))).alias("word"))
+
+
+@query("tidy_dashes", "SELECT l_orderkey, l_linenumber, l_linenumber || '-' || l_suppkey || ' a — b' AS text FROM lineitem")
+def tidy_dash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of numbers with a hyphen, asides with a long dash."""
+    said = F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_partkey") % 2 == 0, F.lit(" – ")).otherwise(F.lit("—")), F.col("l_suppkey").cast("string"), F.lit(" a - b"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", normalize.tidy_dashes(said).alias("text"))
+
+
+_DOUBTED = "replace(replace(text, ' the ', ' the[?] '), ',', '[?],')"
+
+
+@query("settled_texts", f"SELECT conv_id, turn, CASE WHEN {_DOUBTED} LIKE '%[?]%' THEN regexp_replace(regexp_replace(text, '[ \\t]{{2,}}', ' ', 'g'), ' +([,.;:!?])', '\\1', 'g') ELSE text END AS text FROM conversations")
+def settled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns without the marks of doubt that were put into them."""
+    doubted = F.replace(F.replace("text", F.lit(" the "), F.lit(" the[?] ")), F.lit(","), F.lit("[?],"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", normalize.strip_doubt(doubted).alias("text"))
+
+
+@query(
+    "unwrapped_texts",
+    r"SELECT doc_id, trim(replace(regexp_replace(replace(regexp_replace(replace(text, '-' || chr(10), ''), '\n\n+', chr(1), 'g'), chr(10), ' '), '[ \t]{2,}', ' ', 'g'), chr(1), chr(10) || chr(10)), ' ') AS text FROM documents",
+)
+def unwrapped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with wrapped lines joined and paragraphs kept."""
+    return table(spark, sf_dir, "documents").select("doc_id", normalize.clean_translation(F.col("text")).alias("text"))
+
+
+@query(
+    "nearest_quotes",
+    """WITH p AS (SELECT conv_id, turn, i, abs(i - length(text) // 2) AS d FROM conversations, unnest(range(1, length(text) + 1)) u(i) WHERE substr(text, i, 3) IN ('the', 'der', 'los') AND substr(text, i, 3) = CASE WHEN contains(text, 'the') THEN 'the' WHEN contains(text, 'der') THEN 'der' ELSE 'los' END)
+    SELECT c.conv_id, c.turn, min({'d': d, 'i': i}).i::INTEGER AS found FROM conversations c LEFT JOIN p ON c.conv_id = p.conv_id AND c.turn = p.turn GROUP BY ALL""",
+)
+def nearest_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a quote stands that is nearest to the middle of its turn."""
+    quote = F.when(F.contains("text", F.lit("the")), "the").when(F.contains("text", F.lit("der")), "der").otherwise("los")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", nearest_occurrence(F.col("text"), quote, F.floor(F.char_length("text") / 2)).cast("int").alias("found"))
+
+
+@query("folds_of_pages", "SELECT (doc_id // 25 % 4)::BIGINT AS fold, count(*) AS docs FROM documents GROUP BY 1")
+def folds_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four folds in blocks of 25 documents."""
+    return table(spark, sf_dir, "documents").groupBy(sampling.block_fold(F.col("doc_id"), 4).cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query("unreadable_words", "WITH w AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ɏḀ-ỿ]+')) AS w FROM documents)) SELECT word FROM w WHERE length(word) < 3 OR NOT regexp_matches(word, '[aeiouāīū]')")
+def unreadable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that nobody would write: too short, or without a vowel."""
+    found = table(spark, sf_dir, "documents").select(F.explode(words(F.lower("text"))).alias("word")).distinct()
+    return found.where(broken(F.col("word")))
+
+
+@query("review_priorities", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' ELSE 'sample' END AS reason, doc_id % 17 AS score, CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS priority FROM labels")
+def review_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to look at first: toxic documents, poor ones, then the rest."""
+    flags = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("sample").alias("reason"), (F.col("doc_id") % 17).alias("score"))
+    return quality.review_queue(flags, {"toxic": 0, "poor": 1})
