@@ -11,7 +11,7 @@ from wordloom.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Queries that SQL can't express, and the test that holds each against a plain version.
-PLAIN = {"near_dups": "test_near_copies_against_all_pairs", "dominant_fixes": "test_readers_tools", "query_words_supported": "test_support_is_that_of_all_pairs"}
+PLAIN = {"near_dups": "test_near_copies_against_all_pairs", "query_words_supported": "test_support_is_that_of_all_pairs"}
 
 
 def cell(x):

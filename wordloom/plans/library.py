@@ -12,6 +12,7 @@ from wordloom.functions.tokens import broken, core, words, words_of_columns
 from wordloom.operators import assemble, consensus, intervals, lookup, quality, review, sampling, sequence
 from wordloom.operators.similarity import common_prefix_likeness
 from wordloom.plans.registry import query, table
+from wordloom.plans.texts import _ACCENTS
 from wordloom.sources import pages, tables
 
 _LINES = "l AS (SELECT doc_id, source, i AS line, trim(t[i]) AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS t FROM documents), unnest(range(1, len(t) + 1)) u(i))"
@@ -87,9 +88,6 @@ def assembled_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("vol", "unit", "a", "b", "text", F.size("pages").cast("long").alias("pages"), "closed", F.array_join("flags", ",").alias("flags"))
 
 
-_ACCENTS = ("ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü", "ACEEEINOOUsaceeeinoou")
-
-
 @query(
     "letter_error_rates",
     f"""WITH t AS (SELECT conv_id, turn, translate(text, '{_ACCENTS[0]}', '{_ACCENTS[1]}') AS text FROM conversations)

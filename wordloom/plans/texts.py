@@ -186,14 +186,25 @@ def merged_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(reading.merge_lists([F.slice(w, 1, 3), last]), "|").alias("merged"))
 
 
-@query("dominant_fixes")
+_ACCENTS = ("ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü", "ACEEEINOOUsaceeeinoou")
+_PLAIN_WORDS = f"SELECT unnest(regexp_extract_all(lower(translate(text, '{_ACCENTS[0]}', '{_ACCENTS[1]}')), '[A-Za-zÀ-ɏḀ-ỿ]+')) AS word FROM {{0}}"
+_FORMS = "SELECT word, word AS form FROM {0} UNION SELECT word, left(word, i) || substr(word, i + 2) FROM {0}, unnest(range(0, length(word))) t(i)"
+
+
+@query(
+    "dominant_fixes",
+    f"""WITH f AS (SELECT word, count(*) AS freq FROM ({_PLAIN_WORDS.format('documents')}) GROUP BY word), u AS (SELECT DISTINCT word FROM ({_PLAIN_WORDS.format('conversations')}) WHERE length(word) >= 4 AND word NOT IN (SELECT word FROM f)),
+    a AS ({_FORMS.format('u')}), b AS ({_FORMS.format('f')}), p AS (SELECT DISTINCT a.word AS word, b.word AS fixed FROM a JOIN b USING (form) WHERE a.word <> b.word),
+    r AS (SELECT p.word, fixed, freq, row_number() OVER w AS rank, lead(freq) OVER w AS second FROM p JOIN f ON f.word = fixed WHERE levenshtein(p.word, fixed) <= 1 WINDOW w AS (PARTITION BY p.word ORDER BY freq DESC, fixed DESC))
+    SELECT word, fixed FROM r WHERE rank = 1 AND freq >= 3 AND (second IS NULL OR freq >= 3 * second)""",
+)
 def dominant_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of conversations that documents lack, with a clearly commoner word one edit away."""
-    from wordloom.plans.search import document_words
+    """Words of conversations that documents lack, with a clearly commoner word one edit away; accents aside."""
+
+    def said(name: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.explode(words(F.lower(F.translate("text", *_ACCENTS)))).alias("word"))
 
-    freq = document_words(spark, sf_dir).groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
-    said = table(spark, sf_dir, "conversations").select(F.explode(words(F.lower("text"))).alias("word"))
-    return reading.dominant_fix(said, freq)
+    return reading.dominant_fix(said("conversations"), said("documents").groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
 
 
 @query("query_words_supported")
