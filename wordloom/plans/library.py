@@ -394,3 +394,44 @@ def review_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to look at first: toxic documents, poor ones, then the rest."""
     flags = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("sample").alias("reason"), (F.col("doc_id") % 17).alias("score"))
     return quality.review_queue(flags, {"toxic": 0, "poor": 1})
+
+
+_UNITS = "u AS (SELECT conv_id AS vol, turn AS k, CASE WHEN turn % 6 <> 5 THEN (turn * 7 + conv_id) % 5 + 1 END AS a, CASE WHEN (turn + conv_id) % 9 = 4 THEN turn % 7 + 1 END AS heading, turn % 8 = 5 AS colophon, CASE WHEN turn % 5 <> 2 THEN turn // 4 + 1 END AS head, conv_id % 4 = 0 AND turn BETWEEN 2 AND 6 AS strict FROM conversations)"
+
+
+@query(
+    "chapter_starts",
+    f"""WITH RECURSIVE {_UNITS}, w AS (
+      SELECT DISTINCT vol, -1::BIGINT AS k, 1::BIGINT AS chapter, 0::BIGINT AS last, false AS closed, 0 AS off FROM u
+      UNION ALL
+      SELECT vol, k, CASE c WHEN 1 THEN heading WHEN 2 THEN chapter + 1 WHEN 3 THEN head ELSE chapter END, coalesce(a, CASE WHEN c > 0 THEN 0 ELSE last END), colophon, CASE WHEN c > 0 THEN 0 ELSE off END FROM (
+        SELECT *, CASE WHEN heading IS NOT NULL AND heading <> chapter THEN 1 WHEN strict THEN 0 WHEN closed OR (a = 1 AND last > 1) THEN 2 WHEN off >= 2 THEN 3 ELSE 0 END AS c FROM (
+          SELECT u.vol, u.k, u.a, heading, u.colophon, head, strict, chapter, last, closed, CASE WHEN head IS NOT NULL AND head <> chapter THEN off + 1 ELSE 0 END AS off FROM w JOIN u ON u.vol = w.vol AND u.k = w.k + 1)))
+    SELECT vol, k, chapter::INTEGER AS chapter FROM w WHERE k >= 0""",
+)
+def chapter_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of conversations read as volumes: headings, restarts at 1, colophons, running heads, and ranges where only headings count."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    units = table(spark, sf_dir, "conversations").select(
+        conv.alias("vol"),
+        turn.alias("k"),
+        F.when(turn % 6 != 5, (turn * 7 + conv) % 5 + 1).cast("int").alias("a"),
+        F.when((turn + conv) % 9 == 4, turn % 7 + 1).cast("int").alias("heading"),
+        (turn % 8 == 5).alias("colophon"),
+        F.when(turn % 5 != 2, F.floor(turn / 4) + 1).cast("int").alias("running_head"),
+    )
+    ranges = units.where("vol % 4 = 0").select("vol").distinct().select("vol", F.lit(2).cast("long").alias("first"), F.lit(6).cast("long").alias("last"))
+    return assemble.chapter_breaks(assemble.mark_strict(units, ranges, ["vol"], "k"), ["vol"], "k").select("vol", "k", "chapter")
+
+
+@query(
+    "resynced_entries",
+    """WITH RECURSIVE e AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, CASE WHEN p_partkey % 7 <> 0 THEN p_size % 9 END AS n FROM part),
+    w AS (SELECT DISTINCT p_brand, NULL::BIGINT AS p_partkey, 0::BIGINT AS i, 0::BIGINT AS now FROM part
+      UNION ALL SELECT e.p_brand, e.p_partkey, e.i, CASE WHEN n > now AND n <= now + 3 THEN n ELSE now + 1 END FROM w JOIN e ON e.p_brand = w.p_brand AND e.i = w.i + 1)
+    SELECT p_brand, p_partkey, now::INTEGER AS chapter FROM w WHERE i > 0""",
+)
+def resynced_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed numbers of a brand's parts followed by a counter that trusts a number a little ahead."""
+    entries = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") % 9).cast("int").alias("number"))
+    return assemble.resync_entries(entries, ["p_brand"], "p_partkey").select("p_brand", "p_partkey", "chapter")
