@@ -431,3 +431,18 @@ def test_grams_of_a_long_text(spark):
         found = gram_agreement(passages, spark.createDataFrame([(text,), (None,)], "text string"), block=block)
         assert sorted(map(tuple, found.collect())) == [(1, 7, 7), (2, 9, 0)]
     assert time.monotonic() - began < 60  # it grew with the square of a text's length
+
+
+def test_dice_of_classes_spread_over_rows(spark):
+    from wordloom.operators.similarity import dice_pairs
+
+    kinds = ["red pen", "pen red", "red red cup", None, "cup", ""]
+    rows = [(k, "g" if k % 5 else "h", kinds[k % 6]) for k in range(90)] + [(200, None, "cup"), (None, "g", "cup")]
+    found = dice_pairs(spark.createDataFrame(rows, "k long, grp string, t string"), ["grp"], "k", F.split("t", " "))
+    want = []
+    for a, g, s in rows[:90]:
+        for b, h, t in rows[:90]:
+            if a < b and g == h:
+                x, y = (set(w.split(" ")) if w is not None else None for w in (s, t))
+                want.append((a, b, None if x is None or y is None else round(2 * len(x & y) / (len(x) + len(y)), 6)))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)

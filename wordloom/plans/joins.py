@@ -227,10 +227,8 @@ def rare_frequent_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dice_heads", "WITH p AS (SELECT p_partkey, p_brand, p_size, list_distinct(string_split(lower(p_type || ' ' || p_name), ' ')) AS h FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b, round(2 * len(list_intersect(a.h, b.h)) / (len(a.h) + len(b.h)), 6) AS dice FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def dice_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dice similarity of the words of parts of one brand and size."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ").alias("h"))
-    a, b = part.alias("a"), part.alias("b")
-    pairs = a.join(b, F.expr("a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey"))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(similarity.dice(F.col("a.h"), F.col("b.h")), 6).alias("dice"))
+    words_ = F.split(F.lower(F.concat("p_type", F.lit(" "), "p_name")), " ")
+    return similarity.dice_pairs(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey", words_)
 
 
 @query("exact_dups", "WITH t AS (SELECT source, regexp_replace(text, '\\s+', '', 'g') AS bare FROM documents) SELECT sha256(bare) AS digest, count(DISTINCT source) AS groups, count(*) AS n FROM t WHERE length(bare) >= 80 GROUP BY bare HAVING count(DISTINCT source) > 1")
