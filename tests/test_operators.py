@@ -446,3 +446,8 @@ def test_dice_of_classes_spread_over_rows(spark):
                 x, y = (set(w.split(" ")) if w is not None else None for w in (s, t))
                 want.append((a, b, None if x is None or y is None else round(2 * len(x & y) / (len(x) + len(y)), 6)))
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_contents_with_long_numbers(spark):
+    lines = spark.createDataFrame([("s", 1, "1. one ..... 3"), ("s", 2, "1234567. two ..... 4"), ("s", 3, "goes on"), ("s", 4, "98765432101. three")], "s string, k int, text string")
+    assert rows_of(assemble.fold_entry_lines(lines, ["s"], "k"), "entry", "number", "title") == [(1, 1, "one"), (2, 1234567, "two goes on"), (3, None, "three")]

@@ -106,12 +106,15 @@ def unit_flags(text: Column, closed: Column, short: int = 12) -> Column:
 
 
 def fold_entry_lines(lines: DataFrame, by: list[str], order: str, text: str = "text") -> DataFrame:
-    """(by, entry, number, title): contents lines that start with a number begin an entry, others continue it; heads and blank lines go."""
+    """(by, entry, number, title): contents lines that start with a number begin an entry, others continue it; heads and blank lines go.
+
+    A number of any length begins an entry; one beyond an int is null.
+    """
     head = F.col(text).rlike("(?i)^\\s*(contents|chapter|page)\\s*$") | (F.btrim(text) == "")
-    number = F.try_to_number(F.nullif(F.regexp_extract(digits_to(F.col(text)), "^\\s*(\\d{1,6})[.)\\s]", 1), F.lit("")), F.lit("999999")).cast("int")
-    rows = lines.where(~head).withColumn("number", number)
+    digits = F.nullif(F.regexp_extract(digits_to(F.col(text)), "^\\s*(\\d+)[.)\\s]", 1), F.lit(""))
+    rows = lines.where(~head).withColumn("digits", digits).withColumn("number", F.col("digits").try_cast("int"))
     upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("entry", F.sum(F.col("number").isNotNull().cast("long")).over(upto)).where("entry > 0")
+    rows = rows.withColumn("entry", F.sum(F.col("digits").isNotNull().cast("long")).over(upto)).where("entry > 0")
     bare = F.btrim(F.regexp_replace(text, "^\\s*[\\d०-९୦-୯]+[.)\\s]+|[\\s.…]+[\\d०-९୦-୯]*\\s*$", ""))
     return rows.groupBy(*by, "entry").agg(F.max("number").alias("number"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, bare.alias("t")))), lambda p: p["t"]), " ").alias("title"))
 
