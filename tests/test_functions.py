@@ -241,3 +241,8 @@ def test_near_copies_write_no_pairs(spark):
     assert results[0] == results[1] == results[2] and (0, 900) in {r[1:3] for r in results[0]}
     plan = near_copies(rows, "grp", "id", block=16)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_snippet_that_ends_in_a_line_break(spark):
+    rows = spark.createDataFrame([("ab hit cd\nyyyyyyyyyyyy", 4), ("ab hit c d yyyyyyyyyyyy", 4)], "t string, at int")
+    assert [r[0] for r in rows.select(parse.snippet(F.col("t"), F.col("at"), F.lit(3), 4)).collect()] == ["ab hit cd…", "ab hit c…"]

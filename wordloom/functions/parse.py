@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 
 from wordloom.functions.normalize import digits_to
 
+#: The blanks at which a snippet is cut.
+BLANKS = "\\t\\n\\f\\r "
+
 
 def reference(query: Column) -> Column:
     """(section, chapter, verse) of "3.12" or "3.12.7" with sections 0 to 12; null for anything else."""
@@ -31,12 +34,15 @@ def version_key(version: Column, parts: int = 4) -> Column:
 
 
 def snippet(text: Column, at: Column, size: Column, around: int = 36) -> Column:
-    """A hit with up to ``around`` characters on both sides, cut at blanks; ``at`` is 1-based."""
+    """A hit with up to ``around`` characters on both sides, cut at blanks; ``at`` is 1-based.
+
+    The end is the text's: a piece that ends in a line break is cut there and not at the blank before it.
+    """
     low = F.greatest(at - around, F.lit(1))
     high = F.least(at + size + around, F.char_length(text) + 1)
     piece = F.substr(text, low, high - low)
-    piece = F.when(low > 1, F.regexp_replace(piece, "^\\S*\\s", "")).otherwise(piece)
-    piece = F.when(high <= F.char_length(text), F.regexp_replace(piece, "\\s\\S*$", "")).otherwise(piece)
+    piece = F.when(low > 1, F.regexp_replace(piece, f"^[^{BLANKS}]*[{BLANKS}]", "")).otherwise(piece)
+    piece = F.when(high <= F.char_length(text), F.regexp_replace(piece, f"[{BLANKS}][^{BLANKS}]*\\z", "")).otherwise(piece)
     return F.concat(F.when(low > 1, F.lit("…")).otherwise(F.lit("")), piece, F.when(high <= F.char_length(text), F.lit("…")).otherwise(F.lit("")))
 
 
