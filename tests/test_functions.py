@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +247,11 @@ def test_near_copies_write_no_pairs(spark):
 def test_snippet_that_ends_in_a_line_break(spark):
     rows = spark.createDataFrame([("ab hit cd\nyyyyyyyyyyyy", 4), ("ab hit c d yyyyyyyyyyyy", 4)], "t string, at int")
     assert [r[0] for r in rows.select(parse.snippet(F.col("t"), F.col("at"), F.lit(3), 4)).collect()] == ["ab hit cd…", "ab hit c…"]
+
+
+def test_nearest_occurrence_in_a_long_text(spark):
+    long = "x" * 300_000 + "los" + "x" * 300_000
+    rows = spark.createDataFrame([(long, "los", 5), ("aaaa", "aa", 3), ("a.b a.b", "a.b", 1), ("q\\Eq", "\\E", 1), ("los los", "los", 3), ("", "a", 1), ("é😀lo los", "los", 9)], "t string, q string, near int")
+    began = time.monotonic()
+    assert [r[0] for r in rows.select(parse.nearest_occurrence(F.col("t"), F.col("q"), F.col("near"))).collect()] == [300_001, 3, 1, 2, 1, None, 6]
+    assert time.monotonic() - began < 60  # it grew with the square of a text's length

@@ -48,9 +48,23 @@ def snippet(text: Column, at: Column, size: Column, around: int = 36) -> Column:
 
 def nearest_occurrence(text: Column, quote: Column, near: Column) -> Column:
     """1-based start of the occurrence of ``quote`` nearest to ``near``; null if there is none."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.substr(text, i, F.char_length(quote)) == quote)
-    ranked = F.array_sort(F.transform(starts, lambda i: F.struct(F.abs(i - near).alias("d"), i.alias("at"))))
-    return F.when(F.size(ranked) > 0, ranked[0]["at"])
+    literal = F.concat(F.lit("(?=\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    # Each piece but the first begins with the quote; their lengths give the places in one pass.
+    best = F.aggregate(
+        F.split(text, literal),
+        F.struct(F.lit(1).alias("here"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("double").alias("d")),
+        lambda held, piece: F.struct(
+            (held["here"] + F.char_length(piece)).alias("here"),
+            F.when(_closer(held, piece, quote, near), held["here"]).otherwise(held["at"]).alias("at"),
+            F.when(_closer(held, piece, quote, near), F.abs(held["here"] - near).cast("double")).otherwise(held["d"]).alias("d"),
+        ),
+    )
+    return best["at"]
+
+
+def _closer(held: Column, piece: Column, quote: Column, near: Column) -> Column:
+    """Whether a piece starts with the quote, nearer than what is held."""
+    return F.startswith(piece, quote) & (held["d"].isNull() | (F.abs(held["here"] - near) < held["d"]))
 
 
 def span_at(text: Column, at: Column, pattern: str) -> Column:
