@@ -451,3 +451,9 @@ def test_dice_of_classes_spread_over_rows(spark):
 def test_contents_with_long_numbers(spark):
     lines = spark.createDataFrame([("s", 1, "1. one ..... 3"), ("s", 2, "1234567. two ..... 4"), ("s", 3, "goes on"), ("s", 4, "98765432101. three")], "s string, k int, text string")
     assert rows_of(assemble.fold_entry_lines(lines, ["s"], "k"), "entry", "number", "title") == [(1, 1, "one"), (2, 1234567, "two goes on"), (3, None, "three")]
+
+
+def test_keys_across_languages_are_made_of_words_and_not_of_tokens(spark, sf_dir):
+    from wordloom.plans.joins import cross_language
+
+    assert "documents.parquet" not in cross_language(spark, sf_dir)._jdf.queryExecution().toString()

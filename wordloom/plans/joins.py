@@ -10,6 +10,7 @@ from wordloom.functions.tokens import stems, words
 from wordloom.operators import intervals, lookup, patches, review, sequence, similarity
 from wordloom.plans.registry import query, table
 from wordloom.plans.search import WORDS_SQL, document_words
+from wordloom.sources.shared import materialise
 from wordloom.sources.tables import from_backup, to_backup
 
 _SUFFIXES = ["ing", "ed", "es", "ly", "s"]
@@ -131,7 +132,11 @@ def prefix_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cross_language", f"WITH e AS (SELECT lang, lower(nfc_normalize(word)) AS skey, count(*) AS freq FROM ({WORDS_SQL}) GROUP BY ALL) SELECT w.skey AS word, e.lang AS entry_id, CAST(row_number() OVER (PARTITION BY w.skey ORDER BY e.freq DESC, e.lang) AS INTEGER) AS rank FROM (SELECT * FROM e WHERE lang = 'en') w JOIN e ON w.skey = e.skey AND w.lang <> e.lang QUALIFY rank <= 3")
 def cross_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English words that other languages spell alike."""
-    entries = document_words(spark, sf_dir).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("skey", script_key(F.col("word"))).groupBy("lang", "skey").agg(F.sum("n").alias("freq"))
+    # Keys are made of what was written, so no filter on them reaches the tokens; only words beyond ASCII pass through the Unicode step.
+    counted = materialise(document_words(spark, sf_dir).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words-by-language")
+    plain = ~F.col("word").rlike("[^\\x00-\\x7F]")
+    keyed = counted.where(plain).withColumn("skey", F.lower("word")).unionByName(counted.where(~plain).withColumn("skey", script_key(F.col("word"))))
+    entries = materialise(keyed.groupBy("lang", "skey").agg(F.sum("n").alias("freq")), "keys-by-language")
     words_ = entries.where("lang = 'en'").select(F.col("skey").alias("word"), "skey", "lang")
     return lookup.cross_script(words_, entries.select(F.col("lang").alias("entry_id"), "skey", "lang", "freq"))
 
