@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import difflib
-import unicodedata
 import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +255,10 @@ def test_nearest_occurrence_in_a_long_text(spark):
     began = time.monotonic()
     assert [r[0] for r in rows.select(parse.nearest_occurrence(F.col("t"), F.col("q"), F.col("near"))).collect()] == [300_001, 3, 1, 2, 1, None, 6]
     assert time.monotonic() - began < 60  # it grew with the square of a text's length
+
+
+def test_dandas_part_words_without_a_step_of_their_own(spark):
+    for lang in tokens.WORD:
+        rows = spark.createDataFrame([("राम।सीता ab॥cd",)], "t string").select(tokens.words(F.col("t"), lang).alias("w"))
+        assert not any("।" in w or "॥" in w for w in rows.first()["w"])
+        assert ("translate(" in rows._jdf.queryExecution().analyzed().toString()) == (lang in ("hi", "sa"))

@@ -23,11 +23,16 @@ PUNCTUATION = ".,;:!?\"'‘’“”()[]{}।॥-—–"
 
 
 def words(text: Column, lang: str = "iast") -> Column:
-    """Array of the words of a text; dandas separate words, words marked ``[?]`` go in Odia."""
+    """Array of the words of a text; dandas separate words, words marked ``[?]`` go in Odia.
+
+    Dandas are letters of the Devanagari block alone, so only there they are put out of the way first.
+    """
     text = F.coalesce(text, F.lit(""))
     if lang == "or":
         text = F.regexp_replace(text, "\\S*\\[\\?\\]", " ")
-    return F.regexp_extract_all(F.translate(text, "।॥", "  "), F.lit(f"({WORD[lang]})"), F.lit(1))
+    if lang in ("hi", "sa"):
+        text = F.translate(text, "।॥", "  ")
+    return F.regexp_extract_all(text, F.lit(WORD[lang]), F.lit(0))
 
 
 def words_of_columns(columns: dict[str, str]) -> Column:
