@@ -78,7 +78,13 @@ def suggest(keys: DataFrame, df: DataFrame, limit: int = 3) -> DataFrame:
     """
     from wordloom.operators.similarity import edit1_pairs
 
-    pairs = edit1_pairs(keys.select("key").distinct(), df.select("key").distinct(), "key").where("left_word != right_word and substring(left_word, 1, 1) = substring(right_word, 1, 1)")
+    # Only keys with a given one's first letter and about its length are spread into forms.
+    typed = keys.select("key").distinct()
+    near = F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.char_length("key") + d))
+    shapes = typed.select(F.substring("key", 1, 1).alias("first"), near.alias("size")).distinct()
+    shaped = df.withColumn("first", F.substring("key", 1, 1)).withColumn("size", F.char_length("key"))
+    maybe = shaped.join(F.broadcast(shapes), ["first", "size"], "left_semi").select("key").distinct()
+    pairs = edit1_pairs(typed, maybe, "key").where("left_word != right_word and substring(left_word, 1, 1) = substring(right_word, 1, 1)")
     ranked = pairs.select(F.col("left_word").alias("key"), F.col("right_word").alias("suggestion")).join(df.select(F.col("key").alias("suggestion"), "df"), "suggestion")
     longer = F.char_length("suggestion") - F.char_length("key")
     order = Window.partitionBy("key").orderBy(F.when(longer > 0, 0).when(longer == 0, 1).otherwise(2), F.desc("df"), "suggestion")
