@@ -236,3 +236,23 @@ def test_batch_files(spark, tmp_path):
     # The same rows from a stream of files.
     streamed = run_stream(pages.parse_batches(pages.read_batches(spark, str(tmp_path / "b"), stream=True)), tmp_path, "batches", "append")
     assert sorted(map(str, (json.dumps(r.asDict()) for r in streamed))) == sorted(json.dumps(r.asDict()) for r in found.collect())
+
+
+def test_many_lists_are_packed_as_each_alone(spark):
+    rng = np.random.default_rng(5)
+    lists = [np.unique(rng.integers(0, 10 ** int(rng.integers(1, 12)), int(rng.integers(1, 700)))) for _ in range(40)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    firsts, counts, ends, blocks, gaps, begin = stored.pack_lists(np.concatenate(lists), offsets)
+    for k, ids in enumerate(lists):
+        part, alone = slice(blocks[k], blocks[k + 1]), stored.pack(ids)
+        mine = (firsts[part], counts[part], ends[part], gaps[begin[k] : begin[k + 1]].tobytes())
+        assert all(np.array_equal(a, b) for a, b in zip(mine[:3], alone[:3], strict=True)) and mine[3] == alone[3]
+        assert stored.PostingList(*mine).all().tolist() == ids.tolist()
+
+
+def test_lists_over_several_batches(spark):
+    rows = [(k, int(i)) for k, step in (("aaa", 1), ("bbb", 7), ("ccc", 400)) for i in range(0, 140_000, step)]
+    post = spark.createDataFrame([*rows, ("bbb", 7), ("ddd", None), ("eee", 3)], "key string, doc_id long").repartition(3)
+    blocks = stored.posting_blocks(post).cache()
+    assert blocks.select("key", "segment").distinct().count() == blocks.count() == 10
+    assert sorted(map(tuple, stored.decode_blocks(blocks).collect())) == sorted([*rows, ("eee", 3)])

@@ -25,23 +25,35 @@ RULE = f"index 1, segments of {SEGMENT}, blocks of {BLOCK}"
 _BLOCKS = "key string, segment long, n int, last long, firsts array<long>, counts array<int>, ends array<int>, gaps binary"
 
 
-def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """(first id, number of ids, end in bytes) of each block, and all gaps, of ascending ids."""
-    starts = np.arange(0, len(ids), BLOCK)
-    gaps = np.diff(ids, prepend=0)
-    gaps = np.delete(gaps, starts).astype(np.uint64)
+def pack_lists(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Many lists of ascending ids at once; list i is ``values[offsets[i]:offsets[i + 1]]``.
+
+    (first id, number of ids, end in bytes within its list) of each block, where each list's blocks start, all gaps, where each list's gaps start.
+    """
+    lengths = np.diff(offsets)
+    place = np.arange(len(values)) - np.repeat(offsets[:-1], lengths)
+    starts = np.flatnonzero(place % BLOCK == 0)
+    blocks = np.concatenate([[0], np.cumsum(-(-lengths // BLOCK))])
+    gaps = np.delete(np.diff(values, prepend=0), starts).astype(np.uint64)
     size = np.ones(len(gaps), np.int64)
     for k in range(1, 10):
         size += gaps >= np.uint64(1 << 7 * k)
-    at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
+    before = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(before[-1]), np.uint8)
     for k in range(int(size.max(initial=0))):
         held = np.flatnonzero(size > k)
         more = np.where(size[held] > k + 1, 128, 0)
-        out[at[held] + k] = (gaps[held] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | more.astype(np.uint8)
-    counts = np.minimum(len(ids) - starts, BLOCK)
-    bytes_before = np.concatenate([[0], np.cumsum(size)])
-    return ids[starts], counts, bytes_before[np.cumsum(counts - 1)], out.tobytes()
+        out[before[held] + k] = (gaps[held] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | more.astype(np.uint8)
+    counts = np.diff(starts, append=len(values))
+    begin = before[offsets - blocks]
+    ends = before[np.cumsum(counts - 1)] - np.repeat(begin[:-1], np.diff(blocks))
+    return values[starts], counts, ends, blocks, out, begin
+
+
+def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(first id, number of ids, end in bytes) of each block, and all gaps, of ascending ids."""
+    firsts, counts, ends, _, gaps, _ = pack_lists(ids, np.array([0, len(ids)]))
+    return firsts, counts, ends, gaps.tobytes()
 
 
 def unpack(first: int, gaps: bytes) -> np.ndarray:
@@ -93,9 +105,13 @@ def posting_blocks(postings: DataFrame) -> DataFrame:
     def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            packed = [pack(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            columns = [pa.array(np.diff(offsets), pa.int32()), pa.array(values[offsets[1:] - 1]), pa.array([p[0] for p in packed], pa.list_(pa.int64())), pa.array([p[1].astype(np.int32) for p in packed], pa.list_(pa.int32())), pa.array([p[2].astype(np.int32) for p in packed], pa.list_(pa.int32())), pa.array([p[3] for p in packed], pa.binary())]
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            values, offsets = lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+            firsts, counts, ends, blocks, gaps, begin = pack_lists(values, offsets)
+            at = pa.array(blocks, pa.int32())
+            packed = [pa.ListArray.from_arrays(at, x) for x in (pa.array(firsts, pa.int64()), pa.array(counts, pa.int32()), pa.array(ends, pa.int32()))]
+            held = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(gaps)])
+            columns = [pa.array(np.diff(offsets), pa.int32()), pa.array(values[offsets[1:] - 1]), *packed, held]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
     segment = F.floor(F.col("doc_id") / SEGMENT).cast("long")
