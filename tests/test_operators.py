@@ -457,3 +457,10 @@ def test_keys_across_languages_are_made_of_words_and_not_of_tokens(spark, sf_dir
     from wordloom.plans.joins import cross_language
 
     assert "documents.parquet" not in cross_language(spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_words_without_a_close_one_share_what_is_kept():
+    from wordloom.operators.support import QuerySet
+
+    asked = QuerySet([["house", "river"]], 1)
+    assert asked.close_to("zzz") is asked.close_to("qqq") and asked.close_to("houses").tolist() == [0]

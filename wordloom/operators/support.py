@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CLOSE, BLOCK_BYTES, _HELD = 0.78, 8 << 20, 200_000
-_KINDS = 64
+_KINDS, _ROWS = 64, 256  # rows held as Python strings at once
+_NONE = np.zeros(0, np.int32)
 
 
 def _letters(words: list[str]) -> np.ndarray:
@@ -44,7 +45,8 @@ class QuerySet:
             maybe = np.flatnonzero(2 * np.minimum(self.lengths, len(word)) >= self.close * both)
             shared = np.minimum(self.letters[maybe], _letters([word])).sum(1)
             maybe = maybe[2 * shared >= self.close * both[maybe]]
-            self.near[word] = np.array([k for k in maybe.tolist() if difflib.get_close_matches(self.words[k], [word], 1, self.close)], np.int64)
+            found = [k for k in maybe.tolist() if difflib.get_close_matches(self.words[k], [word], 1, self.close)]
+            self.near[word] = np.array(found, np.int32) if found else _NONE
         return self.near[word]
 
     def shares(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +86,10 @@ def best_support(items: DataFrame, texts: DataFrame, item: str, mine: str, pool:
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             best = np.full(len(sent.value.sizes), -1.0)
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    which, share = sent.value.shares([w for w in text or () if w is not None])
-                    best[which] = np.maximum(best[which], share)
+                for low in range(0, batch.num_rows, _ROWS):
+                    for text in batch.column(0).slice(low, _ROWS).to_pylist():
+                        which, share = sent.value.shares([w for w in text or () if w is not None])
+                        best[which] = np.maximum(best[which], share)
             some = np.flatnonzero(best >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(best[some])], names=["place", "support"])
 
