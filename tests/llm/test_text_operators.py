@@ -157,6 +157,34 @@ def test_language_model_against_plain_restaurants(spark, hot):
     assert all(abs(sum(row) - 1) < 1e-9 for row in check)
 
 
+@pytest.mark.parametrize("wide", [12, 40])
+def test_large_restaurants_are_spread_without_another_result(spark, wide):
+    """More training tokens than ``wide`` change where a restaurant is worked on, and no score."""
+    rng = random.Random(5)
+    words = ["a", "the", "of", "red", "blue", "one", "two", "Three"]
+    rows = [(k, " ".join(rng.choice(words[: 2 + k % 7]) for _ in range(rng.randrange(14)))) for k in range(90)]
+    rows += [(100, "the of " * 150), (101, "never seen words"), (102, rows[20][1]), (None, "the the"), (103, None), (104, "of new one the other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    want, _ = plain_restaurants(rows, 1 << 20)
+    whole = sorted(rows_of(pitman_yor.score_documents(docs), *columns), key=str)
+    spread = sorted(rows_of(pitman_yor.score_documents(docs.repartition(3), wide=wide, bucket_bytes=400), *columns), key=str)
+    assert [r[:4] for r in spread] == [r[:4] for r in whole]
+    assert np.allclose([r[4:] for r in spread], [r[4:] for r in whole], atol=1e-9)
+    assert np.allclose([s for _, s in sorted([(r[0], r[5]) for r in spread], key=str)], [s for _, s in sorted(want, key=str)], atol=1e-9)
+
+
+def test_scores_of_a_word_beyond_a_million_tokens(spark):
+    """Without further arguments the scores are those of restaurants that aren't spread at all."""
+    rng = np.random.default_rng(6)
+    kinds = np.array(["the", "the", "the", *(f"w{k}" for k in range(400))])
+    rows = [(k, " ".join(kinds[np.where(rng.random(6000) < 0.75, 0, rng.integers(0, len(kinds), 6000))])) for k in range(320)]
+    assert sum(t.split().count("the") for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1) > 1 << 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got, whole = (sorted(rows_of(pitman_yor.score_documents(docs, **how), "doc_id", "n_known", "score")) for how in ({}, {"wide": 1 << 40}))
+    assert np.allclose(got, whole, rtol=0, atol=1e-5)
+
+
 def test_tables_follow_their_distribution():
     d, s, p, others = 0.6, 0.7, 0.2, 3
     weights = Counter()

@@ -5,15 +5,14 @@ those of all v share the unigram restaurant, whose parent gives every known
 token and the one unknown token the same probability.  The tables of a
 restaurant are the customers of its parent.
 
-1. Training words are counted.  A word with more than ``hot`` of them gets one
-   restaurant for each class of what stands before it (a hash of the word
-   before, and of the word before that where the pair may be frequent too), so
-   no restaurant grows with the corpus without end.  There are 65,536 such
-   words at most.  The ``CODES`` most frequent words or fewer make a code book
-   of bounded size, which is broadcast.
+1. Training words are counted.  The ``CODES`` most frequent words or fewer make
+   a code book of bounded size, which is broadcast.
 2. Every token goes once through a shuffle by its context v, packed: frequent
    words by their number in the code book, the others by a table in the row.
-   A bucket holds whole restaurants of (u, v) and v.
+   A bucket holds whole restaurants of (u, v) and v, but for a word v with more
+   than ``wide`` training tokens: its restaurants are spread over buckets of
+   their own by w (and u, where w is such a word too).  There are 65,536 such
+   words at most.
 3. First pass over the buckets: Gibbs sweeps with the unigram level held
    uniform; the tables of each word are added up over all buckets and seated
    in the unigram restaurant.
@@ -21,6 +20,12 @@ restaurant are the customers of its parent.
    step 3; predictive probabilities are averaged over the last sweeps and
    summed up by document.
 
+Buckets of one large restaurant sweep side by side (``large_rounds``).  After each
+sweep the tables of a context (u, v) are added up over them, and so are the
+customers and tables of v; only what can change travels.  All of these are
+whole numbers, so scores are those of a restaurant held in one place, and
+``wide`` decides where the work is done, not what comes out.
+
 A step of the sampler takes all customers of one dish away and seats them anew
 given everything else: the number of tables t of c customers has weight
 ``S(c, t) * p ** t * (s + d T) (s + d (T + 1)) ...`` with generalised Stirling
@@ -32,6 +37,7 @@ dish, context and sweep only, so scores don't depend on buckets or partitions.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -140,14 +146,25 @@ class Seating:
         del first
         self.c3 = np.bincount(self.of, weights=train, minlength=len(self.cells)).astype(np.int64)
         self.dishes, lead, self.up = grouped(dish)
-        contexts, _, self.in3 = grouped(context)
+        self.contexts, _, self.in3 = grouped(context)
         nodes, _, self.in2 = grouped(node[lead])
-        self.n3, self.n2 = len(contexts), len(nodes)
+        self.n3, self.n2 = len(self.contexts), len(nodes)
         self.words, _, self.word = grouped(word[lead])
         self.t3 = np.minimum(self.c3, 1)
         self.c2 = np.bincount(self.up, weights=self.t3, minlength=len(self.dishes)).astype(np.int64)
         self.t2 = np.minimum(self.c2, 1)
         self.total3 = np.bincount(self.in3, weights=self.c3, minlength=self.n3)
+        # What is seated in other buckets: tables of each context (u, v), customers of each dish, tables and customers of v.
+        self.far3, self.far2, self.far_tables, self.far_customers = 0, 0, 0, 0
+
+    def tables3(self) -> np.ndarray:
+        return np.bincount(self.in3, weights=self.t3, minlength=self.n3) + self.far3
+
+    def tables2(self) -> np.ndarray:
+        return np.bincount(self.in2, weights=self.t2, minlength=self.n2) + self.far_tables
+
+    def customers2(self) -> np.ndarray:
+        return np.bincount(self.in2, weights=self.c2, minlength=self.n2) + self.far_customers
 
     def sweep(self, unigram: np.ndarray, draw: int) -> None:
         """One sweep, from the contexts (u, v) to the contexts v; ``unigram`` is each dish's probability above."""
@@ -158,22 +175,21 @@ class Seating:
         eaten = self.c2[up] - mine
         tables = np.minimum(self.t2[up], eaten)
         at = self.in2[up]
-        held = np.bincount(self.in2, weights=self.t2, minlength=self.n2)[at] - (self.t2[up] - tables)
-        total = np.bincount(self.in2, weights=self.c2, minlength=self.n2)[at] - mine
+        held = self.tables2()[at] - (self.t2[up] - tables)
+        total = self.customers2()[at] - mine
         parent = (eaten - d2 * tables + (s2 + d2 * held) * unigram[up]) / (s2 + total)
-        others = np.bincount(self.in3, weights=self.t3, minlength=self.n3)[self.in3[live]] - mine
+        others = self.tables3()[self.in3[live]] - mine
         self.t3[live] = tables_of(self.c3[live], parent, others, s3, d3, self.cells[live], 2 * draw)
-        self.c2 = np.bincount(self.up, weights=self.t3, minlength=len(self.dishes)).astype(np.int64)
-        others = np.bincount(self.in2, weights=self.t2, minlength=self.n2)[self.in2] - self.t2
+        self.c2 = np.bincount(self.up, weights=self.t3, minlength=len(self.dishes)).astype(np.int64) + self.far2
+        others = self.tables2()[self.in2] - self.t2
         self.t2 = tables_of(self.c2, unigram, np.maximum(others, 0), s2, d2, self.dishes, 2 * draw + 1)
 
     def predict(self, unigram: np.ndarray) -> np.ndarray:
         """The probability of each dish of a context (u, v) under the present seating."""
         (_, d2, d3), (_, s2, s3) = DISCOUNTS, STRENGTHS
-        tables = np.bincount(self.in2, weights=self.t2, minlength=self.n2)
-        total = np.bincount(self.in2, weights=self.c2, minlength=self.n2)
+        tables, total = self.tables2(), self.customers2()
         p2 = (self.c2 - d2 * self.t2 + ((s2 + d2 * tables))[self.in2] * unigram) / (s2 + total)[self.in2]
-        above = (s3 + d3 * np.bincount(self.in3, weights=self.t3, minlength=self.n3)) / (s3 + self.total3)
+        above = (s3 + d3 * self.tables3()) / (s3 + self.total3)
         return (self.c3 - d3 * self.t3) / (s3 + self.total3)[self.in3] + above[self.in3] * p2[self.up]
 
 
@@ -247,7 +263,28 @@ class CodeBook:
         return np.where(self.sorted[place] == words, self.rank[place], -1)
 
 
-def pack_slice(ids: np.ndarray, train: np.ndarray, texts: list[bytes], buckets: int, hot: np.ndarray, parts: np.ndarray, book: CodeBook) -> list[tuple]:
+class Large:
+    """Words with large restaurants, and the buckets over which each one's is spread."""
+
+    def __init__(self, words: np.ndarray, buckets: np.ndarray, least: int):
+        self.words, self.n, self.least = words, buckets, least
+        self.first = least + np.cumsum(buckets) - buckets
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word here, -1 for one that isn't."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[place] == words, place, -1)
+
+    def bucket(self, place: np.ndarray, names: np.ndarray) -> np.ndarray:
+        return self.first[place] + (mix(names + _ODD[1]) % self.n[place].astype(U64)).astype(np.int64)
+
+    def place_of(self, bucket: int) -> int:
+        return int(np.searchsorted(self.first, bucket, side="right")) - 1
+
+
+def pack_slice(ids: np.ndarray, train: np.ndarray, texts: list[bytes], buckets: int, hot: np.ndarray, parts: np.ndarray, large: Large, book: CodeBook) -> list[tuple]:
     """Rows of ``_PACKED``: a row for each bucket that holds a token of the slice, and one about the documents.
 
     A token is (v, u, w, class, step to its document's number and whether it
@@ -285,6 +322,9 @@ def pack_slice(ids: np.ndarray, train: np.ndarray, texts: list[bytes], buckets:
         second = share[u][some]
         kind[some] = class_of(u, share[v][some]) * (1 << 16) + np.where(second > 1, class_of(before(3), second), 0)
     bucket = ((node_of(table[v], kind) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    place = large.find(table)
+    some = np.flatnonzero(place[v] >= 0)
+    bucket[some] = large.bucket(place[v[some]], np.where(place[w[some]] >= 0, pair(table[w[some]], table[u[some]], 1), table[w[some]]))
     order = np.argsort(bucket, kind="stable")  # by bucket, then by place
     bucket, owner, v, u, w, kind = bucket[order], owner[order], v[order], u[order], w[order], kind[order]
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -308,7 +348,7 @@ def node_of(v: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return pair(v, kind.astype(U64), 0)
 
 
-def _pack(buckets: int, hot: np.ndarray, parts: np.ndarray, book, rows: int):
+def _pack(buckets: int, hot: np.ndarray, parts: np.ndarray, large: Large, book, rows: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, rows):
             ids = np.array([-(2**63) if i is None else i for i in batch.column(0).to_pylist()], np.int64)
@@ -316,7 +356,7 @@ def _pack(buckets: int, hot: np.ndarray, parts: np.ndarray, book, rows: int):
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
             for i, j in slices(ends, 1 << 22):
-                yield _record(pack_slice(ids[i:j], train[i:j], texts[i:j], buckets, hot, parts, book.value), _PACKED)
+                yield _record(pack_slice(ids[i:j], train[i:j], texts[i:j], buckets, hot, parts, large, book.value), _PACKED)
 
     return task
 
@@ -361,37 +401,48 @@ def _words(numbers: np.ndarray, book: CodeBook, table: np.ndarray) -> np.ndarray
 _SWEEPS, _BURN_IN = 6, 3
 
 
-def _first_pass(vocabulary: int, book):
+def _first_pass(vocabulary: int, large: Large, book):
     def bucket_tables(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rows = [r for r in group.to_pylist() if r["tokens"]]
         if not rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "word": pa.array([], pa.int64()), "tables": pa.array([], pa.int64())})
         seats = _unpack(rows, book.value, False)[0]
-        flat = np.full(len(seats.dishes), 1 / (vocabulary + 1))
-        for draw in range(_BURN_IN):
-            seats.sweep(flat, draw)
+        if key[0].as_py() >= large.least:
+            seats.t2 = np.where(_moving(seats, large)[0], 0, seats.t2)  # those come from the rounds
+        else:
+            flat = np.full(len(seats.dishes), 1 / (vocabulary + 1))
+            for draw in range(_BURN_IN):
+                seats.sweep(flat, draw)
         tables = np.bincount(seats.word, weights=seats.t2, minlength=len(seats.words)).astype(np.int64)
         return pa.table({"bucket": pa.array(np.full(len(tables), key[0].as_py(), np.int32)), "word": pa.array(seats.words.view(np.int64)), "tables": pa.array(tables)})
 
     return bucket_tables
 
 
-def _second_pass(hot: np.ndarray, hot_counts: np.ndarray, book):
+def _second_pass(hot: np.ndarray, hot_counts: np.ndarray, large: Large, book, rounds: bool):
+    """Scores of the buckets of whole restaurants; with ``rounds``, those of the buckets of large ones from what the rounds left."""
+
     def bucket_scores(key: tuple[pa.Scalar, ...], group: pa.Table, above: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
+        rows = group.to_pylist() if (key[0].as_py() >= large.least) == rounds else []
         out = [(r["batch"], b"", r["info"]) for r in rows if r["info"]]
         rows = sorted((r for r in rows if r["tokens"]), key=lambda r: r["batch"])
         if not rows:
             return pa.Table.from_batches([_record(out, _COUNTED)])
         seats, tokens = _unpack(rows, book.value, True)
-        order = np.argsort(above.column("word").to_numpy().view(U64))
-        words, p1 = above.column("word").to_numpy().view(U64)[order], above.column("p").to_numpy().astype(np.float64)[order]
-        unigram = p1[np.searchsorted(words, seats.words)][seats.word]
         total = np.zeros(len(seats.cells))
-        for draw in range(_SWEEPS):
-            seats.sweep(unigram, _SWEEPS + draw)
-            if draw >= _BURN_IN:
+        if rounds:
+            left = _unbundle(above.column("body")[0].as_py())
+            unigram = left["p"].astype(np.float64)[np.searchsorted(left["words"], seats.words)][seats.word]
+            for seated in left["past"]:
+                _seat(seats, large, left, seated)
                 total += seats.predict(unigram)
+        else:
+            words, p1 = _unigrams(above)
+            unigram = p1[np.searchsorted(words, seats.words)][seats.word]
+            for draw in range(_SWEEPS):
+                seats.sweep(unigram, _SWEEPS + draw)
+                if draw >= _BURN_IN:
+                    total += seats.predict(unigram)
         score = np.log10(total / (_SWEEPS - _BURN_IN))[seats.of]
         owner, low = tokens["owner"], tokens["low"]
         distinct, at = np.unique(tokens["v"], return_inverse=True)
@@ -414,6 +465,270 @@ def _second_pass(hot: np.ndarray, hot_counts: np.ndarray, book):
     return bucket_scores
 
 
+def _unigrams(above: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    words = above.column("word").to_numpy().view(U64)
+    order = np.argsort(words)
+    return words[order], above.column("p").to_numpy().astype(np.float64)[order]
+
+
+_MAIL = "bucket int, sender int, kind int, body binary"
+_OWN, _CONTEXTS, _NODE = range(3)  # kinds of rows: a bucket's own, about contexts (u, v), about v
+
+
+def _bundle(**held) -> bytes:
+    def small(x):
+        if isinstance(x, list):
+            return [small(y) for y in x]
+        whole = isinstance(x, np.ndarray) and x.dtype.kind == "i"
+        return x.astype(np.min_scalar_type(int(x.max(initial=0)))) if whole else x
+
+    raw = pickle.dumps({k: small(x) for k, x in held.items()}, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unbundle(blob: bytes) -> dict:
+    def wide(x):
+        if isinstance(x, list):
+            return [wide(y) for y in x]
+        return x.astype(np.int64) if isinstance(x, np.ndarray) and x.dtype.kind == "u" and x.dtype != U64 else x
+
+    return {k: wide(x) for k, x in pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)).items()}
+
+
+def _moving(seats: Seating, large: Large) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the tables of each dish can change from sweep to sweep, and whether it is spread over buckets."""
+    spread = large.find(seats.words)[seats.word] >= 0
+    alive = np.bincount(seats.up, weights=seats.c3 > 1, minlength=len(seats.dishes)) > 0
+    return spread | alive | (seats.c2 > 1), spread
+
+
+def _mail(bucket: int, large: Large, contexts: np.ndarray, columns: list[np.ndarray], node: dict) -> list[tuple]:
+    """Rows to the bucket that adds up each context (u, v), and to the one that adds up v."""
+    place = large.place_of(bucket)
+    owners, out = large.bucket(np.full(len(contexts), place), contexts), [(int(large.first[place]), bucket, _NODE, _bundle(**node))]
+    for owner in np.unique(owners).tolist():
+        mine = owners == owner
+        out.append((owner, bucket, _CONTEXTS, _bundle(names=contexts[mine], columns=[c[mine] for c in columns])))
+    return out
+
+
+def _open(large: Large, book):
+    """Of each bucket of a large restaurant, what can change, and its first mail."""
+
+    def opened(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        rows = [r for r in group.to_pylist() if r["tokens"]] if bucket >= large.least else []
+        if not rows:
+            return pa.Table.from_batches([_record([], _MAIL)])
+        seats = _unpack(rows, book.value, False)[0]
+        moving, spread = _moving(seats, large)
+        live, once = seats.c3 > 1, seats.c3 == 1
+        number = np.cumsum(moving) - 1
+        own = {
+            "cells": seats.cells[live], "c3": seats.c3[live], "up": number[seats.up[live]], "in3": seats.in3[live].astype(np.int64), "contexts": seats.contexts,
+            "dishes": seats.dishes[moving], "words": seats.words[seats.word[moving]], "spread": spread[moving],
+            "single2": np.bincount(seats.up[once], minlength=len(seats.dishes))[moving], "singles": int(once.sum()), "fixed": int((~moving & (seats.c2 > 0)).sum()),
+        }
+        node = {"customers": int(seats.c2.sum()), "tables": int(seats.t2[~spread].sum()), "names": seats.dishes[spread], "words": seats.words[seats.word[spread]], "c2": seats.c2[spread]}
+        alive = np.bincount(seats.in3, weights=live, minlength=seats.n3) > 0
+        columns = [seats.tables3().astype(np.int64), seats.total3.astype(np.int64), alive.astype(np.int64), np.ones(seats.n3, np.int64)]
+        return pa.Table.from_batches([_record([(bucket, bucket, _OWN, _bundle(**own)), *_mail(bucket, large, seats.contexts, columns, node)], _MAIL)])
+
+    return opened
+
+
+def _answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Adds up what buckets of a large restaurant wrote and answers each; rows of a bucket to itself stay."""
+    bucket, rows = key[0].as_py(), group.to_pylist()
+    out = [(bucket, r["sender"], _OWN, r["body"]) for r in rows if r["kind"] == _OWN]
+    mail = [(r["sender"], _unbundle(r["body"])) for r in rows if r["kind"] == _CONTEXTS]
+    if mail:
+        names, at = np.unique(np.concatenate([m["names"] for _, m in mail]), return_inverse=True)
+        columns = [np.bincount(at, weights=np.concatenate(c), minlength=len(names)).astype(np.int64)[at] for c in zip(*(m["columns"] for _, m in mail), strict=True)]
+        ends = np.cumsum([len(m["names"]) for _, m in mail])
+        out += [(sender, bucket, _CONTEXTS, _bundle(columns=[c[end - len(m["names"]) : end] for c in columns])) for (sender, m), end in zip(mail, ends.tolist(), strict=True)]
+    mail = [(r["sender"], _unbundle(r["body"])) for r in rows if r["kind"] == _NODE]
+    if mail:
+        names, lead, at = np.unique(np.concatenate([m["names"] for _, m in mail]), return_index=True, return_inverse=True)
+        words = np.concatenate([m["words"] for _, m in mail])[lead]
+        c2 = np.bincount(at, weights=np.concatenate([m["c2"] for _, m in mail]), minlength=len(names)).astype(np.int64)
+        t2, first = np.minimum(c2, 1), mail[0][1]
+        if "draw" in first:
+            before, p = (np.concatenate([m[k] for _, m in mail])[lead] for k in ("t2", "p"))
+            t2 = tables_of(c2, p.astype(np.float64), np.maximum(float(first["held"]) - before, 0), STRENGTHS[1], DISCOUNTS[1], names, 2 * first["draw"] + 1)
+        customers, tables = (sum(m[k] for _, m in mail) for k in ("customers", "tables"))
+        least = min(sender for sender, _ in mail)
+        out += [(sender, bucket, _NODE, _bundle(customers=customers, tables=tables + int(t2.sum()), names=names, words=words, c2=c2, t2=t2, lead=sender == least)) for sender, _ in mail]
+    return pa.Table.from_batches([_record(out, _MAIL)])
+
+
+def _settle(large: Large):
+    """A bucket's own row together with the answers to its first mail."""
+
+    def settled(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        bucket, rows = key[0].as_py(), group.to_pylist()
+        own = next(_unbundle(r["body"]) for r in rows if r["kind"] == _OWN)
+        contexts = own.pop("contexts")
+        tables, total, alive, buckets = _in_order(bucket, large, contexts, rows, 4)
+        shared = (alive > 0) & (buckets > 1)
+        kept = shared | (np.bincount(own["in3"], minlength=len(contexts)) > 0)
+        own |= {"in3": (np.cumsum(kept) - 1)[own["in3"]], "tables3": tables[kept], "shared": np.flatnonzero(shared[kept]), "names3": contexts[shared]}
+        own |= {"node": next(r["body"] for r in rows if r["kind"] == _NODE), "all3": _bundle(tables3=tables, total3=total, shared=np.flatnonzero(shared))}
+        return pa.Table.from_batches([_record([(bucket, bucket, _OWN, _bundle(**own))], _MAIL)])
+
+    return settled
+
+
+def _in_order(bucket: int, large: Large, contexts: np.ndarray, rows: list[dict], columns: int) -> list[np.ndarray]:
+    """The columns answered, in the order of ``contexts``."""
+    owners = large.bucket(np.full(len(contexts), large.place_of(bucket)), contexts)
+    out = [np.zeros(len(contexts), np.int64) for _ in range(columns)]
+    for r in rows:
+        if r["kind"] == _CONTEXTS:
+            for held, column in zip(out, _unbundle(r["body"])["columns"], strict=True):
+                held[owners == r["sender"]] = column
+    return out
+
+
+class Part(Seating):
+    """What can change in one bucket of a large restaurant, and what is seated elsewhere."""
+
+    def __init__(self, bucket: int, large: Large, own: dict, rows: list[dict]):
+        self.bucket, self.large, self.own = bucket, large, own
+        self.cells, self.c3, self.up, self.in3, self.dishes, self.words, self.spread = (own[k] for k in ("cells", "c3", "up", "in3", "dishes", "words", "spread"))
+        self.in2, self.n3, self.n2 = np.zeros(len(self.dishes), np.int64), len(own["tables3"]), 1
+        at_once = np.bincount(self.in3, minlength=self.n3)
+        self.state = next((_unbundle(r["body"]) for r in rows if r["kind"] == _OWN), {"past": []})
+        self.t3 = self.state.get("t3", np.ones(len(self.cells), np.int64))
+        self.far2 = own["single2"].copy()
+        own2 = np.bincount(self.up, weights=self.t3, minlength=len(self.dishes)).astype(np.int64)
+        self.c2 = own2 + self.far2
+        self.t2 = self.state.get("t2", np.minimum(self.c2, 1))
+        self.node = _unbundle(next((r["body"] for r in rows if r["kind"] == _NODE), own["node"]))
+        at = np.searchsorted(self.node["names"], self.dishes[self.spread])
+        self.c2[self.spread], self.t2[self.spread] = self.node["c2"][at], self.node["t2"][at]
+        self.far2[self.spread] = self.c2[self.spread] - own2[self.spread]
+        self.far_customers, self.far_tables = self.node["customers"] - self.c2.sum(), self.node["tables"] - self.t2.sum()
+        # Tables beyond the first of each cell, here and in all buckets.
+        self.far3 = own["tables3"] - at_once
+        if "t3" in self.state:
+            shared = own["shared"]
+            self.far3[shared] += _in_order(bucket, large, own["names3"], rows, 1)[0] - self.excess()
+
+    def excess(self) -> np.ndarray:
+        """Tables beyond the first of each cell in the contexts that other buckets have too."""
+        return np.bincount(self.in3, weights=self.t3 - 1, minlength=self.n3).astype(np.int64)[self.own["shared"]]
+
+    def step(self, unigram: np.ndarray, draw: int, **kept) -> pa.Table:
+        """A sweep; then the bucket's own row and its mail."""
+        before, held = self.t2[self.spread].copy(), int(self.node["tables"])
+        self.sweep(unigram, draw)
+        mine = np.bincount(self.up, weights=self.t3, minlength=len(self.dishes)).astype(np.int64) + self.own["single2"]
+        node = {"customers": int(self.t3.sum()) + self.own["singles"], "tables": int(self.t2[~self.spread].sum()) + self.own["fixed"], "names": self.dishes[self.spread], "words": self.words[self.spread]}
+        node |= {"c2": mine[self.spread], "t2": before, "p": unigram[self.spread], "held": held, "draw": draw}
+        own = (self.bucket, self.bucket, _OWN, _bundle(t3=self.t3, t2=self.t2, past=self.state["past"], **kept))
+        return pa.Table.from_batches([_record([own, *_mail(self.bucket, self.large, self.own["names3"], [self.excess()], node)], _MAIL)])
+
+    def seated(self) -> bytes:
+        """All that the probabilities of a seating need."""
+        return _bundle(t3=self.t3, t2=self.t2, c2=self.c2[self.spread], tables3=self.tables3()[self.own["shared"]].astype(np.int64), customers=self.node["customers"], tables=self.node["tables"])
+
+
+def _seat(seats: Seating, large: Large, left: dict, seated: bytes) -> None:
+    """Seats all of a bucket's cells, one that was ``left`` by the rounds, as a sweep had ``seated`` what can change."""
+    past, all3 = _unbundle(seated), _unbundle(left["all3"])
+    once = np.minimum(seats.c3, 1)
+    seats.t3, seats.far3, seats.far_tables, seats.far_customers = once, 0, 0, 0
+    seats.c2 = np.bincount(seats.up, weights=once, minlength=len(seats.dishes)).astype(np.int64)
+    first3, (moving, spread) = seats.tables3(), _moving(seats, large)
+    seats.t3 = once.copy()
+    seats.t3[seats.c3 > 1] = past["t3"]
+    seats.c2 = np.bincount(seats.up, weights=seats.t3, minlength=len(seats.dishes)).astype(np.int64)
+    seats.c2[spread] = past["c2"]
+    seats.t2 = np.minimum(seats.c2, 1)
+    seats.t2[moving] = past["t2"]
+    here = seats.tables3()
+    tables3 = all3["tables3"] + here - first3
+    tables3[all3["shared"]] = past["tables3"]
+    seats.far3, seats.total3 = tables3 - here, all3["total3"]
+    seats.far_customers, seats.far_tables = past["customers"] - seats.c2.sum(), past["tables"] - seats.t2.sum()
+
+
+def large_rounds(packed: DataFrame, large: Large, book, vocabulary: int):
+    """The rounds of the large restaurants of ``packed``: their tables of the first pass, and a function from the unigram level to what the second pass needs.
+
+    A bucket's row is kept, and its mail is added up in a bucket of the same restaurant, between one sweep and the next.
+    """
+    opened = packed.groupBy("bucket").applyInArrow(_open(large, book), _MAIL)
+    settled = opened.groupBy("bucket").applyInArrow(_answer, _MAIL).groupBy("bucket").applyInArrow(_settle(large), _MAIL)
+    none = pa.Table.from_batches([_record([], _MAIL)])
+
+    def part(key, own: pa.Table, rows: list[dict]) -> Part:
+        return Part(key[0].as_py(), large, _unbundle(own.column("body")[0].as_py()), rows)
+
+    def flat_sweep(draw: int):
+        def swept(key: tuple[pa.Scalar, ...], own: pa.Table, mail: pa.Table) -> pa.Table:
+            here = part(key, own, mail.to_pylist())
+            return here.step(np.full(len(here.dishes), 1 / (vocabulary + 1)), draw)
+
+        return swept
+
+    def first_sweep(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+        return flat_sweep(0)(key, own, none)
+
+    def tables_of_words(key: tuple[pa.Scalar, ...], own: pa.Table, mail: pa.Table) -> pa.Table:
+        here = part(key, own, mail.to_pylist())
+        words, tables = [here.words[~here.spread]], [here.t2[~here.spread]]
+        if here.node["lead"]:
+            words, tables = [*words, here.node["words"]], [*tables, here.node["t2"]]
+        words, tables = np.concatenate(words), np.concatenate(tables)
+        return pa.table({"bucket": pa.nulls(len(words), pa.int32()), "word": pa.array(words.view(np.int64)), "tables": pa.array(tables.astype(np.int64))})
+
+    def levelled_sweep(key: tuple[pa.Scalar, ...], own: pa.Table, above: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return none
+        here, (words, p) = part(key, own, []), _unigrams(above)
+        p = p[np.searchsorted(words, here.words)]
+        return here.step(p, _SWEEPS, p=p.astype(np.float32))
+
+    def later_sweep(draw: int):
+        def swept(key: tuple[pa.Scalar, ...], own: pa.Table, mail: pa.Table) -> pa.Table:
+            here = part(key, own, mail.to_pylist())
+            if draw > _BURN_IN:
+                here.state["past"].append(here.seated())
+            return here.step(here.state["p"].astype(np.float64), _SWEEPS + draw, p=here.state["p"])
+
+        return swept
+
+    def ended(key: tuple[pa.Scalar, ...], own: pa.Table, mail: pa.Table) -> pa.Table:
+        here = part(key, own, mail.to_pylist())
+        return pa.Table.from_batches([_record([(here.bucket, here.bucket, _OWN, _bundle(past=[*here.state["past"], here.seated()], all3=here.own["all3"]))], _MAIL)])
+
+    def with_unigrams(key: tuple[pa.Scalar, ...], own: pa.Table, above: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return none
+        words, p = _unigrams(above)
+        held = _unbundle(own.column("body")[0].as_py())
+        return pa.Table.from_batches([_record([(key[0].as_py(), key[0].as_py(), _OWN, _bundle(words=words, p=p.astype(np.float32), **held))], _MAIL)])
+
+    def meet(step, sent: DataFrame, schema: str = _MAIL) -> DataFrame:
+        answers = sent.groupBy("bucket").applyInArrow(_answer, _MAIL)
+        return settled.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(step, schema)
+
+    sent = settled.groupBy("bucket").applyInArrow(first_sweep, _MAIL)
+    for draw in range(1, _BURN_IN):
+        sent = meet(flat_sweep(draw), sent)
+    tables = meet(tables_of_words, sent, "bucket int, word long, tables long")
+
+    def left(above: DataFrame) -> DataFrame:
+        sent = settled.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(levelled_sweep, _MAIL)
+        for draw in range(1, _SWEEPS):
+            sent = meet(later_sweep(draw), sent)
+        return meet(ended, sent).groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(with_unigrams, _MAIL)
+
+    return tables, left
+
+
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up the buckets' sums of each slice of documents, whose rows stand side by side."""
     now, infos, parts = None, [], []
@@ -475,7 +790,7 @@ def unigram_level(tables: DataFrame, vocabulary: int) -> DataFrame:
     return words.crossJoin(F.broadcast(totals)).where("size(buckets) <= most").select(F.explode("buckets").alias("bucket"), "word", p.cast("float").alias("p"))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, bucket_bytes: int = 8 << 20, hot: int = 1 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, bucket_bytes: int = 8 << 20, hot: int | None = None, wide: int = 1 << 20) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose fold is not ``held_out``.  A null or empty
@@ -483,6 +798,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     learned from, all counts are 0 and ``score`` is 0.  Null ids count as empty
     text for the fold; repeated rows stay and count as often as they occur;
     other columns are ignored; an empty table gives no rows.
+
+    A restaurant with more than ``wide`` training tokens is spread over
+    buckets; this doesn't change a score.  ``hot`` asks for another model, in
+    which a word with so many training tokens has one restaurant for each class
+    of what stands before it; no size of the input turns that on.
     """
     rows = documents(docs, id_col, text_col).withColumn("train", (fold_of(F.col("doc_id"), folds) != held_out).cast("int"))
     counted = rows.where("train = 1").select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -493,14 +813,30 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vocabulary = found["v"] + (ends > 0)
     buckets = max(8, -(-(facts["bytes"] or 0) // bucket_bytes))
     # At most HOT_WORDS words can have that share of the tokens.
-    often = counted.where(F.col("n") >= max(hot, -(-tokens // HOT_WORDS))).select("word", "n").collect()
-    often = sorted([(int(np.int64(r["word"]).view(U64)), r["n"]) for r in often] + [(int(START), facts["docs"])] * (facts["docs"] >= hot))
+    least = max(wide + 1 if hot is None else hot, -(-tokens // HOT_WORDS))
+    often = counted.where(F.col("n") >= least).select("word", "n").collect()
+    often = sorted([(int(np.int64(r["word"]).view(U64)), r["n"]) for r in often] + [(int(START), facts["docs"])] * (facts["docs"] >= least if hot is None else facts["docs"] >= hot))
     names, counts = np.array([w for w, _ in often], U64), np.array([n for _, n in often], np.int64)
+    none = np.zeros(0, U64)
+    large = Large(none, np.zeros(0, np.int64), 1 << 31)
+    if hot is None and len(names):
+        # The end mark is only ever a dish; as a large one, it is spread.
+        spread = np.sort(np.append(names, END)) if facts["docs"] >= least else names
+        shares = np.ones(len(spread), np.int64)
+        shares[np.searchsorted(spread, names)] = -(-counts // wide)
+        large = Large(spread, shares, buckets)
+    split = (none, counts[:0]) if hot is None else (names, -(-counts // hot))
     book = rows.sparkSession.sparkContext.broadcast(code_book(counted))
-    packed = rows.mapInArrow(_pack(buckets, names, -(-counts // hot), book, max(2000, 2 * buckets)), _PACKED)
-    tables = packed.groupBy("bucket").applyInArrow(_first_pass(vocabulary, book), "bucket int, word long, tables long")
+    packed = rows.mapInArrow(_pack(buckets, *split, large, book, max(2000, 2 * (buckets + int(large.n.sum())))), _PACKED)
+    tables = packed.groupBy("bucket").applyInArrow(_first_pass(vocabulary, large, book), "bucket int, word long, tables long")
+    if len(large.words):
+        seated, left = large_rounds(packed, large, book, vocabulary)
+        tables = tables.union(seated)
     above = unigram_level(tables, vocabulary)
-    scored = packed.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_second_pass(names, counts, book), _COUNTED)
+    scored = packed.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_second_pass(names, counts, large, book, False), _COUNTED)
+    if len(large.words):
+        spread_scores = packed.groupBy("bucket").cogroup(left(above).groupBy("bucket")).applyInArrow(_second_pass(names, counts, large, book, True), _COUNTED)
+        scored = scored.union(spread_scores)
     summed = scored.repartition("batch").sortWithinPartitions("batch").mapInArrow(_sum_up, "doc_id long, tokens long, known long, logs double, score double")
     n_tokens = F.col("tokens")
     return summed.select(
