@@ -537,10 +537,10 @@ def _open(large: Large, book):
     return opened
 
 
-def _answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Adds up what buckets of a large restaurant wrote and answers each; rows of a bucket to itself stay."""
+def _answer(key: tuple[pa.Scalar, ...], group: pa.Table, own: bool = True) -> pa.Table:
+    """Adds up what buckets of a large restaurant wrote and answers each; rows of a bucket to itself stay if ``own``."""
     bucket, rows = key[0].as_py(), group.to_pylist()
-    out = [(bucket, r["sender"], _OWN, r["body"]) for r in rows if r["kind"] == _OWN]
+    out = [(bucket, r["sender"], _OWN, r["body"]) for r in rows if own and r["kind"] == _OWN]
     mail = [(r["sender"], _unbundle(r["body"])) for r in rows if r["kind"] == _CONTEXTS]
     if mail:
         names, at = np.unique(np.concatenate([m["names"] for _, m in mail]), return_inverse=True)
@@ -565,9 +565,11 @@ def _answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 def _settle(large: Large):
     """A bucket's own row together with the answers to its first mail."""
 
-    def settled(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        bucket, rows = key[0].as_py(), group.to_pylist()
-        own = next(_unbundle(r["body"]) for r in rows if r["kind"] == _OWN)
+    def settled(key: tuple[pa.Scalar, ...], first: pa.Table, answers: pa.Table) -> pa.Table:
+        bucket, rows = key[0].as_py(), answers.to_pylist()
+        if not rows:  # it only adds up for others
+            return pa.Table.from_batches([_record([], _MAIL)])
+        own = next(_unbundle(r["body"]) for r in first.to_pylist() if r["kind"] == _OWN)
         contexts = own.pop("contexts")
         tables, total, alive, buckets = _in_order(bucket, large, contexts, rows, 4)
         shared = (alive > 0) & (buckets > 1)
@@ -660,7 +662,9 @@ def large_rounds(packed: DataFrame, large: Large, book, vocabulary: int):
     A bucket's row is kept, and its mail is added up in a bucket of the same restaurant, between one sweep and the next.
     """
     opened = packed.groupBy("bucket").applyInArrow(_open(large, book), _MAIL)
-    settled = opened.groupBy("bucket").applyInArrow(_answer, _MAIL).groupBy("bucket").applyInArrow(_settle(large), _MAIL)
+    # The rows of a bucket to itself are long here: they are read again from the same shuffle and not sent through the next.
+    answers = opened.groupBy("bucket").applyInArrow(lambda key, group: _answer(key, group, False), _MAIL)
+    settled = opened.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_settle(large), _MAIL)
     none = pa.Table.from_batches([_record([], _MAIL)])
 
     def part(key, own: pa.Table, rows: list[dict]) -> Part:
@@ -712,7 +716,7 @@ def large_rounds(packed: DataFrame, large: Large, book, vocabulary: int):
         return pa.Table.from_batches([_record([(key[0].as_py(), key[0].as_py(), _OWN, _bundle(words=words, p=p.astype(np.float32), **held))], _MAIL)])
 
     def meet(step, sent: DataFrame, schema: str = _MAIL) -> DataFrame:
-        answers = sent.groupBy("bucket").applyInArrow(_answer, _MAIL)
+        answers = sent.groupBy("bucket").applyInArrow(lambda key, group: _answer(key, group), _MAIL)
         return settled.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(step, schema)
 
     sent = settled.groupBy("bucket").applyInArrow(first_sweep, _MAIL)
