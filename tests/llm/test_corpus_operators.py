@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.brute import linked_groups, repeated_bytes
-from wordloom.llm import exact_dedup, jaccard_join, packing, queries, sharding, suffix_dedup, suffix_sort, trie_join, url_filter
+from wordloom.llm import exact_dedup, jaccard_join, packing, queries, sharding, shingles, suffix_dedup, suffix_sort, trie_join, url_filter
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -317,6 +317,39 @@ def test_jaccard_chains_and_blocks(spark, block_docs):
     assert sorted(got) == sorted(linked_groups(rows))
 
 
+def test_large_block_compares_each_pair_once(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(300)}" for _ in range(80)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(k % 7):
+            words[rng.randrange(80)] = f"v{rng.randrange(99)}"
+        rows.append((k, " ".join(words)))
+    by_digest = {jaccard_join.digest_of(s): s for s in shingles.shingle_sets([t.encode() for _, t in rows])}
+    sets = spark.createDataFrame([(d, len(s), s.view(np.int64).tolist()) for d, s in by_digest.items()], "digest long, n long, tokens array<long>")
+    for args in ({"block_docs": 20}, {"block_tokens": 1500}):
+        # A row for each time a set is compared; a set was sent once for each of its rare tokens.
+        assert jaccard_join.link_sets(sets, **args).count() <= 20 * len(by_digest)
+    got = rows_of(jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=20), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == sorted(linked_groups(rows))
+
+
+def test_copies_mark_no_tokens_of_different_sets(spark):
+    sets = spark.createDataFrame([(1, 2, [5, 7]), (2, 2, [5, 9]), (3, 1, [-1])], "digest long, n long, tokens array<long>")
+    assert sorted(rows_of(jaccard_join.shared_tokens(sets), "digest", "n_shingles", "shared")) == [(1, 2, 1), (2, 2, 1), (3, 1, 0)]
+
+
+@pytest.mark.parametrize("ranks", [1 << 10, 1 << 20])
+def test_trie_join_probes_one_side_only(ranks):
+    sets = [set(range(20)), set(range(1, 20)), set(range(2, 20)), set(range(40, 60)), set(range(41, 61))]
+    join = trie_join.TrieJoin(75, 100, ranks)
+    for k, s in enumerate(sets):
+        join.add(tuple(sorted(s)), len(s), k in (2, 4), k not in (2, 4))
+    assert len({join.find(k) for k in (0, 1, 2)}) == 1 and join.find(3) == join.find(4) != join.find(0)
+    assert trie_join.link_block([(len(s), sorted(s)) for s in sets], second=[False, False, True, True, True]) == [0, 0, 0, 3, 4]
+
+
 def test_near_copies_under_null_ids_only(spark):
     base = [f"w{k}" for k in range(60)]
     rows = [(None, " ".join(base)), (None, " ".join([*base, "x"])), (4, "other " * 9), (None, " ".join([*base, "x"]))]

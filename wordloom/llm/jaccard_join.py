@@ -4,14 +4,17 @@
    through a shuffle by hash, packed by bucket, and each bucket marks the
    tokens that occur in more than one set.  A set can only be linked if the
    share ``num / den`` of its tokens is marked, which leaves few sets.  Equal
-   sets need no comparison: one stands for all.
+   sets need no comparison: one stands for all.  The different sets left go
+   through such buckets again, so that no token is marked for copies alone.
 2. For the sets left, tokens are ordered by frequency, rarest first.  Two
    linked sets share a token among the first ``n - ceil(n * num / den) + 1``
    of each, so sets that share none of those can't be linked, directly or by
    way of others: the components of that candidate graph are blocks.
 3. A prefix-tree join links the sets of each block.  A block with more than
-   ``block_docs`` sets is cut by its prefix tokens instead, a token's sets into
-   chunks and each pair of chunks joined by a task; the links found are merged.
+   ``block_docs`` sets or ``block_tokens`` tokens is cut into chunks, sets with
+   the same neighbour together.  Two chunks meet in one task if a prefix token
+   occurs in both, and a set takes part only if it has such a token, so each
+   pair of sets is compared once; the links found are merged.
 """
 
 from __future__ import annotations
@@ -54,7 +57,11 @@ def pack_slice(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: i
     A token costs its 32 low bits and the step from its set's number to that
     of the token before, a byte as a rule, whatever the number of buckets.
     """
-    sets = shingle_sets(texts)
+    return pack_sets(ids, keys, shingle_sets(texts), buckets)
+
+
+def pack_sets(ids: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], buckets: int) -> list[tuple]:
+    """The same for sets of tokens."""
     sizes = np.array([len(s) for s in sets], np.int64)
     digests = np.array([digest_of(s) for s in sets], np.int64)
     _, first, of = np.unique(digests, return_index=True, return_inverse=True)
@@ -92,6 +99,19 @@ def _pack(buckets: int, rows: int):
     return task
 
 
+def _pack_digests(buckets: int, rows: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, rows):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = batch.column(2)
+            sets = [s.values.to_numpy().view(U64) for s in lists]
+            ends = np.concatenate([[0], np.cumsum([8 * len(s) for s in sets], dtype=np.int64)])
+            for i, j in slices(ends, rows << 11):
+                yield _batch(pack_sets(ids[i:j], ids[i:j], sets[i:j], buckets), _PACKED)
+
+    return task
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by bucket: in each bucket marks the tokens that occur in more than one set and sums them by set."""
     held: list[dict] = []
@@ -166,8 +186,20 @@ def shared_counts(rows: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
     """
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // bucket_bytes))
+    return _shared(rows.mapInArrow(_pack(buckets, max(1000, buckets)), _PACKED), buckets)
+
+
+def shared_tokens(sets: DataFrame, bucket_tokens: int = 2 << 20) -> DataFrame:
+    """(digest, n_shingles, shared) of different sets(digest, n, tokens)."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, -(-total // bucket_tokens))
+    packed = sets.select("digest", "n", "tokens").mapInArrow(_pack_digests(buckets, max(1000, buckets)), _PACKED)
+    return _shared(packed, buckets).select(F.col("key").alias("digest"), "n_shingles", "shared")
+
+
+def _shared(packed: DataFrame, buckets: int) -> DataFrame:
     partitions = min(buckets, _MAX_PARTITIONS)
-    packed = rows.mapInArrow(_pack(buckets, max(1000, buckets)), _PACKED).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    packed = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     counted = packed.mapInArrow(_count, _COUNTED)
     summed = counted.repartition(partitions, "batch").sortWithinPartitions("batch")
     return summed.mapInArrow(_sum_up, "doc_id long, key long, n_shingles long, shared long, digest long")
@@ -190,13 +222,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _link(num: int, den: int):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("digest", ignore_index=True)
-        groups = link_block([(int(n), t.tolist()) for n, t in zip(rows["n"], rows["tokens"], strict=True)], num, den)
+        second = rows["second"].tolist() if rows["second"].any() else None
+        groups = link_block([(int(n), t.tolist()) for n, t in zip(rows["n"], rows["tokens"], strict=True)], num, den, second)
         return pd.DataFrame({"a": rows["digest"], "b": rows["digest"].to_numpy()[groups]})
 
     return block
 
 
-def link_sets(sets: DataFrame, num: int = 75, den: int = 100, block_docs: int = 4000) -> DataFrame:
+def _chunk_pairs(prefix: DataFrame, large: DataFrame, docs: int, tokens: int) -> DataFrame:
+    """(c1, c2, digest, second): the pairs of chunks that share a prefix token, and their sets that have such a token.
+
+    ``prefix``: (token, digest); ``large``: (digest, n) of the sets of large
+    blocks.  A chunk holds sets whose smallest neighbour is the same, about
+    ``docs`` of them and ``tokens`` tokens.
+    """
+    members = prefix.join(large, "digest")
+    least = members.groupBy("token").agg(F.min("digest").alias("a"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", "a")
+    members = members.join(least, "token")
+    near = materialise(members.groupBy("digest", "n").agg(F.min("a").alias("near")), "near")
+    parts = near.groupBy("near").agg(F.expr(f"cast(greatest((count(1) + {docs - 1}) div {docs}, (sum(n) + {tokens - 1}) div {tokens}) as int)").alias("parts"))
+    # Chunks that get one number by chance are one larger chunk.
+    chunk = F.xxhash64("near", F.pmod(F.xxhash64("digest"), F.col("parts")))
+    placed = materialise(members.select("token", "digest").join(near.join(parts, "near").select("digest", chunk.alias("chunk")), "digest"), "placed")
+    others = placed.select("token", F.col("chunk").alias("other")).distinct()
+    met = placed.join(others, "token").select("digest", "chunk", "other").distinct()
+    return met.select(F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "digest", (F.col("chunk") > F.col("other")).alias("second"))
+
+
+def link_sets(sets: DataFrame, num: int = 75, den: int = 100, block_docs: int = 4000, block_tokens: int = 1 << 22) -> DataFrame:
     """(a, b) links between the digests of sets(digest, n, tokens) that connect exactly what is connected by similarity."""
     tokens = sets.select("digest", "n", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -208,21 +261,21 @@ def link_sets(sets: DataFrame, num: int = 75, den: int = 100, block_docs: int =
     prefix = materialise(prefix, "prefix")
     anchor = prefix.groupBy("token").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a < z").select("token", "a")
     candidates = prefix.join(anchor, "token").where("a != digest").select("a", F.col("digest").alias("b")).distinct()
-    blocks = materialise(connected_components(candidates).select(F.col("node").alias("digest"), F.col("component").alias("block")), "blocks")
-    sizes = blocks.groupBy("block").count()
-    small = blocks.join(sizes.where(F.col("count") <= block_docs), "block").select("digest", "block")
+    blocks = connected_components(candidates).select(F.col("node").alias("digest"), F.col("component").alias("block"))
+    blocks = materialise(blocks.join(sets.select("digest", "n"), "digest"), "blocks")
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
+    fits = (F.col("docs") <= block_docs) & (F.col("tokens") <= block_tokens)
+    small = blocks.join(sizes.where(fits), "block").select("digest", "block", F.lit(False).alias("second"))
     schema = "a long, b long"
     links = sets.join(small, "digest").groupBy("block").applyInPandas(_link(num, den), schema)
-    large = sizes.where(F.col("count") > block_docs).select("block")
+    large = sizes.where(~fits).select("block")
     if large.isEmpty():
         return links
-    chunk = block_docs // 2
-    members = prefix.join(blocks.join(large, "block", "left_semi"), "digest").select("token", "digest")
-    counted = members.groupBy("token").count().where("count > 1").withColumn("chunks", F.expr(f"cast((count + {chunk - 1}) div {chunk} as int)"))
-    placed = members.join(counted, "token").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    tasks = placed.select("digest", "token", "chunk", others.alias("other")).select("digest", "token", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2")).distinct()
-    return links.unionByName(sets.join(tasks, "digest").groupBy("token", "c1", "c2").applyInPandas(_link(num, den), schema))
+    members = blocks.join(large, "block", "left_semi").select("digest", "n")
+    pairs = materialise(_chunk_pairs(prefix, members, max(1, block_docs // 2), block_tokens // 2), "chunk-pairs")
+    # These tasks are long for their bytes, so each goes its own way.
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return links.unionByName(sets.join(pairs, "digest").repartition(tasks, "c1", "c2").groupBy("c1", "c2").applyInPandas(_link(num, den), schema))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, block_docs: int = 4000) -> DataFrame:
@@ -242,7 +295,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Texts are found by their key, so null and repeated ids take part; a key that two texts share only adds a set.
     hopeful = groups.where(F.col("shared") * den >= F.col("n") * num).select("key")
     sets = rows.select("key", "text").join(hopeful.distinct(), "key", "left_semi").mapInArrow(_sets, "digest long, n long, tokens array<long>").where("n > 0").dropDuplicates(["digest"])
-    links = materialise(link_sets(materialise(sets, "sets"), num, den, block_docs).where("a != b").distinct(), "links")
+    sets = materialise(sets, "sets")
+    hopeful = shared_tokens(sets).where(F.col("shared") * den >= F.col("n_shingles") * num).select("digest")
+    sets = materialise(sets.join(hopeful, "digest", "left_semi"), "hopeful-sets")
+    links = materialise(link_sets(sets, num, den, block_docs).where("a != b").distinct(), "links")
     joined = connected_components(links).withColumnRenamed("node", "digest")
     named = groups.join(joined, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("copies").alias("members"))
